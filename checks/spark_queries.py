@@ -29,6 +29,7 @@ from jobweave.operators.rank import (
     rank_matches,
 )
 from jobweave.operators.scratch import Scratch
+from jobweave.operators.skew import spread
 from jobweave.plans.history import History, persist_run
 from jobweave.plans.prepare import Prepared, prepare
 from jobweave.schemas import POSTING_SCHEMA
@@ -42,7 +43,8 @@ RUN1_BEFORE = date(2026, 4, 20)
 
 
 def _valid(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.normalize(fx.postings(spark, sf)).filter(quality.is_valid())
+    posts = spread(fx.postings(spark, sf), "ordinal")
+    return quality.normalize(posts).filter(quality.is_valid())
 
 
 def _sha(c) -> F.Column:
@@ -79,7 +81,7 @@ def _reasons() -> F.Column:
 
 
 def q_normalize(spark, sf):
-    return quality.normalize(fx.postings(spark, sf)).select(
+    return quality.normalize(spread(fx.postings(spark, sf), "ordinal")).select(
         "ordinal", "title", "company", "location",
         _sha(F.col("description")).alias("description_sha"),
         _sha(collapse(casefold(F.col("description")))).alias("folded_sha"),
@@ -207,8 +209,8 @@ def q_classify(spark, sf):
 
 
 def q_seniority(spark, sf):
-    return _valid(spark, sf).select(
-        "ordinal", seniority_label(fx.SENIORITY).alias("seniority_label")
+    return _valid(spark, sf).withColumn("text", rank_text()).select(
+        "ordinal", seniority_label(F.col("text"), fx.SENIORITY).alias("seniority_label")
     )
 
 

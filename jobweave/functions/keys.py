@@ -29,33 +29,41 @@ def dedup_source_key() -> Column:
     )
 
 
-def dedup_signature() -> Column:
+def folded_description() -> Column:
+    """Folded, whitespace-collapsed description: the one long text that keys and
+    keyword tests share, so callers compute it once and pass it on."""
+    return collapse(casefold(F.col("description")))
+
+
+def dedup_signature(folded: Column | None = None) -> Column:
     """Folded title, company, location and the hash of the collapsed description."""
+    folded = folded_description() if folded is None else folded
     return F.sha2(
         F.concat_ws(
             "\u001f",
             casefold(F.col("title")),
             casefold(F.col("company")),
             casefold(F.col("location")),
-            stable_hash(collapse(casefold(F.col("description")))),
+            stable_hash(folded),
         ),
         256,
     )
 
 
-def content_signature() -> Column:
+def content_signature(folded: Column | None = None) -> Column:
+    folded = folded_description() if folded is None else folded
     return stable_hash(
         F.concat_ws(
             "||",
             casefold(strip(F.col("title"))),
             casefold(strip(F.col("company"))),
             casefold(strip(F.col("location"))),
-            casefold(collapse(F.col("description"))),
+            folded,
         )
     )
 
 
-def identities() -> Column:
+def identities(folded: Column | None = None) -> Column:
     """Identities of a posting, strongest first: source id, URL, content.
 
     ``array<struct<priority, identity_type, identity_value>>``.
@@ -85,7 +93,7 @@ def identities() -> Column:
                 ),
             ),
             one(2, "canonical_url", canonical_url(url)),
-            one(3, "content_signature", content_signature()),
+            one(3, "content_signature", content_signature(folded)),
         )
     )
 

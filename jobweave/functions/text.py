@@ -13,15 +13,27 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}_]"
-NOT_WORD = r"[^\p{L}\p{N}_]"
-_RUNS = rf"({WORD}+|{NOT_WORD}+)"
+WORD = r"[\w\p{L}\p{N}]"
+NOT_WORD = r"[^\w\p{L}\p{N}]"
+_RUN = rf"{WORD}++|{NOT_WORD}++"
 _is_word = re.compile(r"\w").match
 
+# every character that counts as white space at the ends of a text
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+# any run of white space that is not already one single space
+_LOOSE_SPACE = f"{_SPACE}(?:{_SPACE}++|(?<! ))"
+
 
 def strip(c: Column) -> Column:
-    """Remove Unicode whitespace at both ends (``trim`` only knows U+0020)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Remove Unicode white space at both ends (plain ``trim`` only knows U+0020).
+
+    Trimming looks at the ends of the text only; a pattern would scan all of it.
+    """
+    return F.btrim(c, F.lit(SPACES))
 
 
 def text_or_null(c: Column) -> Column:
@@ -36,7 +48,7 @@ def casefold(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Whitespace runs become one space, ends stripped."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, _LOOSE_SPACE, " "))
 
 
 def stable_hash(c: Column) -> Column:
@@ -57,38 +69,40 @@ def runs_of(term: str) -> list[str]:
     return re.findall(r"\w+|\W+", term)
 
 
-def run_count(c: Column) -> Column:
-    """Number of maximal word and non-word runs."""
-    return F.regexp_count(c, F.lit(_RUNS))
+def term_shape(c: Column) -> Column:
+    """``struct<word, runs>``: does a term start with a word character, and how
+    many maximal word and non-word runs does it have."""
+    return F.struct(
+        c.rlike(f"^{WORD}").alias("word"), F.regexp_count(c, F.lit(_RUN)).alias("runs")
+    )
 
 
-def term_grams(text: Column, lengths: Iterable[int]) -> Column:
-    """Concatenations of ``n`` adjacent runs, for every n in ``lengths``.
+def term_grams(text: Column, shapes: Iterable[tuple[bool, int]]) -> Column:
+    """Concatenations of adjacent runs of a text, for every ``(word, runs)`` shape.
 
     A term with a ``\\b`` on both sides occurs in a text exactly when the term's
     runs are consecutive maximal runs of the text, i.e. when the term equals one
     of these grams.  So the whole-word test becomes an equality test, which can
-    be hashed and joined.  Non-word runs at the ends of the text are cut off
-    first: ``\\b`` needs a word character beyond them.
+    be hashed and joined.  A look-ahead collects the overlapping grams in one
+    pass over the text per shape.
     """
-    lengths = sorted(set(lengths))
-    inner = F.regexp_replace(text, rf"^{NOT_WORD}+|{NOT_WORD}+$", "")
+    parts = [
+        F.regexp_extract_all(text, F.lit(_gram_pattern(word, runs)), F.lit(1))
+        for word, runs in sorted(set(shapes))
+    ]
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
-    def grams(runs: Column) -> Column:
-        parts = [runs] if 1 in lengths else []
-        for n in lengths:
-            if n > 1:
-                starts = F.when(
-                    F.size(runs) >= n, F.sequence(F.lit(0), F.size(runs) - n)
-                ).otherwise(F.array().cast("array<int>"))
-                parts.append(F.transform(starts, _gram_at(runs, n)))
-        return parts[0] if len(parts) == 1 else F.concat(*parts)
 
-    return let(F.regexp_extract_all(inner, F.lit(_RUNS), F.lit(1)), grams)
-
-
-def _gram_at(runs: Column, n: int) -> Callable[[Column], Column]:
-    return lambda i: F.concat(*[F.get(runs, i + j) for j in range(n)])
+def _gram_pattern(word: bool, runs: int) -> str:
+    kinds = (WORD, NOT_WORD) if word else (NOT_WORD, WORD)
+    body = "".join(f"{kinds[i % 2]}++" for i in range(runs))
+    ends_in_word = (runs % 2 == 1) == word
+    # a boundary needs a word character on exactly one side of it
+    right = "" if ends_in_word else f"(?={WORD})"
+    if word and runs == 1:
+        return f"({body})"
+    left = f"(?<!{WORD})" if word else f"(?<={WORD})"
+    return f"{left}(?=({body}){right})"
 
 
 def has_word_edges(term: str) -> bool:
@@ -96,64 +110,54 @@ def has_word_edges(term: str) -> bool:
 
 
 def lookaround_pattern(term: str) -> str:
-    """Pattern of a term with no word character next to it."""
-    return rf"(?<!{WORD}){_quote(term)}(?!{WORD})"
+    """Pattern of a term with no word character next to it.
+
+    The literal comes first, so that most positions fail on one comparison.
+    """
+    t = _quote(term)
+    return f"{t}(?!{WORD})(?<!{WORD}{t})"
 
 
 def boundary_pattern(term: str) -> str:
     """Pattern of a term between two ``\\b`` under Unicode word classes."""
-    left = rf"(?<!{WORD})" if _is_word(term[0]) else rf"(?<={WORD})"
-    right = rf"(?!{WORD})" if _is_word(term[-1]) else rf"(?={WORD})"
-    return f"{left}{_quote(term)}{right}"
+    t = _quote(term)
+    left = f"(?<!{WORD}{t})" if _is_word(term[0]) else f"(?<={WORD}{t})"
+    right = f"(?!{WORD})" if _is_word(term[-1]) else f"(?={WORD})"
+    return f"{t}{right}{left}"
 
 
 def _quote(term: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", term)
 
 
-def keyword_hits(
+def has_term(
+    text: Column, term: str, pattern: Callable[[str], str] = lookaround_pattern
+) -> Column:
+    """Whole-word test of one fixed term: a byte search, then the pattern."""
+    return F.contains(text, F.lit(term)) & text.rlike(pattern(term))
+
+
+def has_any(
     text: Column,
-    groups: Sequence[Sequence[str]],
+    terms: Sequence[str],
     pattern: Callable[[str], str] = lookaround_pattern,
 ) -> Column:
-    """For each group of terms, those that occur in ``text`` as whole words.
+    """Whether any of a few fixed terms occurs; stops at the first one."""
+    out = None
+    for t in dict.fromkeys(terms):
+        hit = has_term(text, t, pattern)
+        out = hit if out is None else out | hit
+    return F.lit(False) if out is None else out
 
-    Returns ``array<array<string>>``, one entry per group.  Terms that begin and
-    end with a word character are found with one tokenisation of the text and one
-    hash intersection per group, however many there are (there both boundary
-    rules agree); the few with a symbol at an edge are tested by ``pattern``.
-    """
-    plain = [[t for t in dict.fromkeys(g) if has_word_edges(t)] for g in groups]
-    odd = [[t for t in dict.fromkeys(g) if not has_word_edges(t)] for g in groups]
-    lengths = {len(runs_of(t)) for g in plain for t in g} or {1}
-
-    def found(grams: Column) -> Column:
-        rows = []
-        for words, symbols in zip(plain, odd, strict=True):
-            hits = (
-                F.array_intersect(grams, F.array(*[F.lit(t) for t in words]))
-                if words
-                else F.array().cast("array<string>")
-            )
-            if symbols:
-                hits = F.concat(
-                    hits,
-                    F.array_compact(
-                        F.array(
-                            *[
-                                F.when(
-                                    F.contains(text, F.lit(t)) & text.rlike(pattern(t)),
-                                    F.lit(t),
-                                )
-                                for t in symbols
-                            ]
-                        )
-                    ),
-                )
-            rows.append(hits)
-        return F.array(*rows)
-
-    return let(term_grams(text, lengths), found)
+
+def terms_in(
+    text: Column,
+    terms: Sequence[str],
+    pattern: Callable[[str], str] = lookaround_pattern,
+) -> Column:
+    """Those of a few fixed terms that occur in ``text``, in the given order."""
+    hits = [F.when(has_term(text, t, pattern), F.lit(t)) for t in dict.fromkeys(terms)]
+    return F.array_compact(F.array(*hits)).cast("array<string>")
 
 
 def terms_of(values: Column) -> Column:

@@ -1,6 +1,6 @@
 """Taxonomy tagging and seniority inference.
 
-Everything here is a projection: no join, no shuffle, one tokenisation per text.
+Everything here is a projection: no join, no shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.functions.keys import folded_description
 from jobweave.functions.text import (
     boundary_pattern,
     casefold,
     collapse,
-    keyword_hits,
-    let,
+    has_any,
+    terms_in,
 )
 from jobweave.vocab import SENIORITY_DEFAULT, SENIORITY_TERMS, Taxonomy
 
@@ -25,9 +26,14 @@ def fold(term: str) -> str:
     return term.lower().replace("ß", "ss")
 
 
-def class_text() -> Column:
-    """Folded, whitespace-collapsed text that keywords are looked up in."""
-    return collapse(casefold(F.concat_ws(" ", "title", "company", "location", "description")))
+def class_text(folded: Column | None = None) -> Column:
+    """Folded, whitespace-collapsed text that keywords are looked up in.
+
+    ``folded`` is the folded description when the caller has it already.
+    """
+    folded = folded_description() if folded is None else folded
+    parts = [collapse(casefold(F.col(c))) for c in ("title", "company", "location")]
+    return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in (*parts, folded)])
 
 
 def rank_text() -> Column:
@@ -38,35 +44,28 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def _matched_tags(hits: Column, keyword_map: Mapping[str, Sequence[str]]) -> Column:
-    """Tags, in map order, with at least one keyword among the hits."""
+def _matched_tags(text: Column, keyword_map: Mapping[str, Sequence[str]]) -> Column:
+    """Tags, in map order, with at least one keyword in the text."""
     return F.array_compact(
         F.array(
             *[
-                F.when(
-                    F.arrays_overlap(hits, _strings([fold(k) for k in words])), F.lit(tag)
-                )
+                F.when(has_any(text, [fold(k) for k in words]), F.lit(tag))
                 for tag, words in keyword_map.items()
-                if words
             ]
         )
     ).cast("array<string>")
 
 
-def classify_columns(taxonomy: Taxonomy) -> Column:
-    """``struct<role_tags, concentration_tags>`` of one posting."""
-    t = taxonomy
-    hits = keyword_hits(
-        class_text(),
-        [
-            [fold(k) for words in t.role_keywords.values() for k in words],
-            [fold(k) for words in t.concentration_keywords.values() for k in words],
-        ],
-    )
+def classify(
+    postings: DataFrame, taxonomy: Taxonomy | None = None, text: Column | None = None
+) -> DataFrame:
+    """Replace role_tags and concentration_tags by the inferred ones.
+
+    Given tags that the taxonomy knows come first, then the tags of the roles,
+    then keyword matches; every list keeps first-seen order.
+    """
+    t = taxonomy or Taxonomy()
     none = F.array().cast("array<string>")
-    given_roles = F.filter(
-        F.coalesce("role_tags", none), lambda r: r.isin(*t.roles)
-    )
 
     def known(tag: Column) -> Column:
         mapped = F.when(tag.isin(*t.concentrations), tag)
@@ -74,44 +73,32 @@ def classify_columns(taxonomy: Taxonomy) -> Column:
             mapped = mapped.when(tag == old, F.lit(new))
         return mapped
 
-    given_concentrations = F.array_compact(
-        F.transform(F.coalesce("concentration_tags", none), known)
-    )
-
     def tracks(role: Column) -> Column:
         out = F.when(F.lit(False), none)
         for name, targets in t.role_concentrations.items():
             out = out.when(role == name, _strings(targets))
         return out.otherwise(none)
 
-    def tag(found: Column) -> Column:
-        roles = F.array_distinct(
-            F.concat(given_roles, _matched_tags(F.get(found, F.lit(0)), t.role_keywords))
+    given_roles = F.filter(F.coalesce("role_tags", none), lambda r: r.isin(*t.roles))
+    given = F.array_compact(F.transform(F.coalesce("concentration_tags", none), known))
+    body = F.col("_text")
+    return (
+        postings.withColumn("_text", class_text() if text is None else text)
+        .withColumns(
+            {
+                "_by_word": _matched_tags(body, t.concentration_keywords),
+                "role_tags": F.array_distinct(
+                    F.concat(given_roles, _matched_tags(body, t.role_keywords))
+                ),
+            }
         )
-        return let(
-            roles,
-            lambda r: F.struct(
-                r.alias("role_tags"),
-                F.array_distinct(
-                    F.concat(
-                        given_concentrations,
-                        F.flatten(F.transform(r, tracks)),
-                        _matched_tags(F.get(found, F.lit(1)), t.concentration_keywords),
-                    )
-                ).alias("concentration_tags"),
+        .withColumn(
+            "concentration_tags",
+            F.array_distinct(
+                F.concat(given, F.flatten(F.transform("role_tags", tracks)), "_by_word")
             ),
         )
-
-    return let(hits, tag)
-
-
-def classify(postings: DataFrame, taxonomy: Taxonomy | None = None) -> DataFrame:
-    """Replace role_tags and concentration_tags by the inferred ones."""
-    return (
-        postings.withColumn("_tags", classify_columns(taxonomy or Taxonomy()))
-        .withColumn("role_tags", F.col("_tags.role_tags"))
-        .withColumn("concentration_tags", F.col("_tags.concentration_tags"))
-        .drop("_tags")
+        .drop("_text", "_by_word")
     )
 
 
@@ -126,9 +113,10 @@ def keyword_stats(postings: DataFrame, taxonomy: Taxonomy) -> DataFrame:
         for tag, words in table.items()
         for word in words
     ]
-    found = keyword_hits(class_text(), [[fold(w) for _, _, w in entries]])
+    found = terms_in(F.col("_text"), [fold(w) for _, _, w in entries])
     used = (
-        postings.select(F.explode(F.get(found, F.lit(0))).alias("folded"))
+        postings.select(class_text().alias("_text"))
+        .select(F.explode(found).alias("folded"))
         .groupBy("folded")
         .agg(F.count(F.lit(1)).alias("postings"))
     )
@@ -140,19 +128,14 @@ def keyword_stats(postings: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     return names.join(used, "folded").drop("folded")
 
 
-def inferred_seniority(hits: Column, terms=SENIORITY_TERMS) -> Column:
-    """First seniority class with a term among the hits."""
-    out = F.lit(SENIORITY_DEFAULT)
-    for label, words in reversed(terms):
-        out = F.when(F.arrays_overlap(hits, _strings(words)), F.lit(label)).otherwise(out)
-    return out
-
+def seniority_label(text: Column, terms=SENIORITY_TERMS) -> Column:
+    """The posting's own label, else the first class with a term in ``text``.
 
-def seniority_label(terms=SENIORITY_TERMS) -> Column:
-    """The posting's own label, else the one its text suggests."""
-    words = [w for _, group in terms for w in group]
-    inferred = let(
-        F.get(keyword_hits(rank_text(), [words], boundary_pattern), F.lit(0)),
-        lambda h: inferred_seniority(h, terms),
-    )
+    ``text`` is :func:`rank_text`, best given as a column that exists already.
+    """
+    inferred = F.lit(SENIORITY_DEFAULT)
+    for label, words in reversed(terms):
+        inferred = F.when(has_any(text, words, boundary_pattern), F.lit(label)).otherwise(
+            inferred
+        )
     return F.coalesce(F.nullif(F.col("seniority"), F.lit("")), inferred)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions.keys import dedup_signature, dedup_source_key
@@ -27,13 +27,13 @@ FINISH_BELOW_ROWS = 100_000
 KEYS = ("key_url", "key_source_id", "key_content")
 
 
-def with_dedup_keys(postings: DataFrame) -> DataFrame:
+def with_dedup_keys(postings: DataFrame, folded: Column | None = None) -> DataFrame:
     """Add the three duplicate signals (NULL where there is none)."""
     return postings.withColumns(
         {
             "key_url": canonical_url(F.col("url")),
             "key_source_id": dedup_source_key(),
-            "key_content": dedup_signature(),
+            "key_content": dedup_signature(folded),
         }
     )
 

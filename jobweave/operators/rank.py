@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobweave.functions.text import casefold, run_count, term_grams
+from jobweave.functions.text import boundary_pattern, casefold, terms_in
 from jobweave.operators.classify import rank_text, seniority_label
 from jobweave.operators.scratch import Scratch
 from jobweave.operators.skew import lookup_join, number_rows
@@ -35,7 +35,7 @@ from jobweave.vocab import SENIORITY_TERMS, RankingWeights
 PAIR_BUDGET = 200_000
 MAX_FREQUENT = 16
 # Up to this many profile terms are looked up inside the scan of the texts.
-INLINE_TERMS = 2_000
+INLINE_TERMS = 100
 
 POSTING_COLUMNS = (
     "ordinal", "source", "title", "company", "location", "url", "posted_date",
@@ -78,20 +78,14 @@ def posting_features(
     Adds ``seniority_label`` and ``text_hits``, the vocabulary terms that occur in
     title and description.
     """
-    labelled = postings.withColumn("seniority_label", seniority_label(seniority_terms))
-    head = vocabulary.limit(inline_terms + 1).collect()
     columns = [*POSTING_COLUMNS[:-1], *keep]
+    labelled = postings.withColumn("_text", rank_text()).withColumn(
+        "seniority_label", seniority_label(F.col("_text"), seniority_terms)
+    )
+    head = vocabulary.limit(inline_terms + 1).collect()
     if len(head) <= inline_terms:
-        words = [r["term"] for r in head]
-        if not words:
-            hits = F.array().cast("array<string>")
-        else:
-            lengths = {
-                r[0] for r in vocabulary.select(run_count(F.col("term"))).distinct().collect()
-            }
-            hits = F.array_intersect(
-                term_grams(rank_text(), lengths), F.array(*[F.lit(w) for w in words])
-            )
+        words = sorted(r["term"] for r in head)
+        hits = terms_in(F.col("_text"), words, boundary_pattern)
         return labelled.select(*columns, hits.alias("text_hits"))
     found = (
         match_terms(postings, vocabulary, text=rank_text())

@@ -20,6 +20,16 @@ def hot_limit(total_rows: int, floor: int | None = None) -> int:
     return max(HOT_FLOOR if floor is None else floor, total_rows // HOT_SHARE)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy per-row work at least one task per core.
+
+    Only inputs with fewer partitions than cores (one small file) are moved; a
+    large scan is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.functions.text import run_count, term_grams
+from jobweave.functions.text import term_grams, term_shape
 
 # Up to this many terms the dictionary is broadcast; beyond, the join is shuffled
 # and salted.
@@ -30,22 +30,22 @@ def match_terms(
     texts x terms.
     """
     stats = terms.agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(run_count(F.col("term")))).alias("lengths")
+        F.count(F.lit(1)).alias("n"), F.collect_set(term_shape(F.col("term"))).alias("shapes")
     ).first()
-    # one small integer per distinct term length
-    lengths = stats["lengths"] or [1]
+    # a handful of small numbers, one per distinct term length
+    shapes = [(r["word"], r["runs"]) for r in stats["shapes"]] or [(True, 1)]
     text = F.col(text) if isinstance(text, str) else text
-    grams = texts.select(
-        key, F.explode(F.array_distinct(term_grams(text, lengths))).alias("term")
-    )
+    grams = texts.select(key, F.explode(term_grams(text, shapes)).alias("term"))
     if stats["n"] <= broadcast_terms:
-        return grams.join(F.broadcast(terms.select("term")), "term").select(key, "term")
+        found = grams.join(F.broadcast(terms.select("term")), "term")
+        return found.select(key, "term").distinct()
     # a frequent word occurs in most texts: spread it over `salts` tasks
     salted = terms.select("term", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     return (
         grams.withColumn("salt", F.pmod(F.hash(key), F.lit(salts)))
         .join(salted, ["term", "salt"])
         .select(key, "term")
+        .distinct()
     )
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from jobweave.functions.keys import identities
-from jobweave.operators.classify import classify
+from jobweave.functions.keys import folded_description, identities
+from jobweave.operators.classify import class_text, classify
 from jobweave.operators.dedup import KEYS, kept_ordinals, with_dedup_keys
 from jobweave.operators.quality import is_valid, normalize, profile_features
 from jobweave.operators.rank import POSTING_COLUMNS, posting_features, profile_vocabulary
 from jobweave.operators.scratch import Scratch
+from jobweave.operators.skew import spread
 from jobweave.vocab import SENIORITY_TERMS, Taxonomy
 
 
@@ -43,11 +45,18 @@ def prepare(
     identities that history tables need.
     """
     people = profile_features(profiles)
-    normalized = normalize(postings).withColumn("valid", is_valid())
+    folded = F.col("_folded")
+    normalized = (
+        normalize(spread(postings, "ordinal"))
+        .withColumn("_folded", folded_description())
+        .withColumn("valid", is_valid())
+    )
     if identify:
-        normalized = normalized.withColumn("identities", identities())
+        normalized = normalized.withColumn("identities", identities(folded))
         keep = (*keep, "identities", "source_job_id")
-    tagged = classify(with_dedup_keys(normalized), taxonomy)
+    tagged = classify(
+        with_dedup_keys(normalized, folded), taxonomy, text=class_text(folded)
+    )
     features = scratch.keep(
         posting_features(
             tagged,
