@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.functions.values import parse_list
+from jobweave.operators.skew import spread
 from jobweave.vocab import Taxonomy
 
 TAXONOMY = Taxonomy(
@@ -113,7 +114,9 @@ _TABLES = ("documents", "supplier", "nation", "pages", "customer", "labels")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # text work on one small file should still use all cores
+    return spread(df, "doc_id") if name == "documents" else df
 
 
 def run_sql(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:

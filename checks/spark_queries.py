@@ -29,7 +29,6 @@ from jobweave.operators.rank import (
     rank_matches,
 )
 from jobweave.operators.scratch import Scratch
-from jobweave.operators.skew import spread
 from jobweave.plans.history import History, persist_run
 from jobweave.plans.prepare import Prepared, prepare
 from jobweave.schemas import POSTING_SCHEMA
@@ -43,8 +42,7 @@ RUN1_BEFORE = date(2026, 4, 20)
 
 
 def _valid(spark: SparkSession, sf: str) -> DataFrame:
-    posts = spread(fx.postings(spark, sf), "ordinal")
-    return quality.normalize(posts).filter(quality.is_valid())
+    return quality.normalize(fx.postings(spark, sf)).filter(quality.is_valid())
 
 
 def _sha(c) -> F.Column:
@@ -81,7 +79,7 @@ def _reasons() -> F.Column:
 
 
 def q_normalize(spark, sf):
-    return quality.normalize(spread(fx.postings(spark, sf), "ordinal")).select(
+    return quality.normalize(fx.postings(spark, sf)).select(
         "ordinal", "title", "company", "location",
         _sha(F.col("description")).alias("description_sha"),
         _sha(collapse(casefold(F.col("description")))).alias("folded_sha"),
@@ -316,8 +314,9 @@ def q_eval_rel3(spark, sf):
     none = F.array().cast("array<string>")
     people, _ = quality.consenting(quality.profile_features(fx.profiles(spark, sf)))
     plain = _labelled(spark, sf).withColumn("role_tags", none).withColumn("concentration_tags", none)
-    features = posting_features(
-        plain, profile_vocabulary(people), seniority_terms=fx.SENIORITY
+    features = scratch.keep(
+        posting_features(plain, profile_vocabulary(people), seniority_terms=fx.SENIORITY),
+        "features",
     )
     ranked = rank_matches(features, people, scratch, limit=3)
     wanted = plain.select((F.col("ordinal") % 50).alias("label_set"), "ordinal")

@@ -19,8 +19,9 @@ from jobweave.functions.urls import canonical_url
 from jobweave.operators.scratch import Scratch
 from jobweave.operators.skew import lookup_join
 
-# After this many rounds a rest of at most so many keys is finished in one task.
-FINISH_AFTER_ROUNDS = 8
+# After this many rounds a rest of at most so many keys is finished in one task;
+# a larger rest goes through further rounds.
+FINISH_AFTER_ROUNDS = 1
 FINISH_BELOW_ROWS = 100_000
 
 
@@ -128,7 +129,8 @@ def _finish(open_keys: DataFrame) -> DataFrame:
                 kept.append(ordinal)
         return pd.DataFrame({"ordinal": pd.Series(kept, dtype="int64")})
 
-    return open_keys.groupBy(F.lit(0)).applyInPandas(sequential, "ordinal bigint")
+    rest = open_keys.withColumn("rest", F.lit(0))
+    return rest.groupBy("rest").applyInPandas(sequential, "ordinal bigint")
 
 
 def deduplicate(postings: DataFrame, scratch: Scratch, **options) -> DataFrame:

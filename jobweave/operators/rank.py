@@ -42,20 +42,32 @@ POSTING_COLUMNS = (
     "employment_type", "role_tags", "concentration_tags", "opt_cpt_flag",
     "seniority_label", "text_hits",
 )
+# what the score and the candidate search read, without the long texts
+SIGNAL_COLUMNS = (
+    "role_tags", "concentration_tags", "opt_cpt_flag", "seniority_label", "text_hits",
+)
 PROFILE_COLUMNS = (
     "profile_no", "student_key", "name", "profile_version", "target_roles",
     "concentration", "needs_opt", "preferred_seniority", "skill_terms", "role_terms",
 )
 
 
-def tie_order() -> list[Column]:
-    """Order among equal scores; ``ordinal`` makes it total."""
-    return [
+def with_tie(postings: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(ordinal, tie)``: position of every posting in the order that decides
+    among equal scores (date desc with NULLs last, company desc, title desc, input
+    order).
+
+    The order is the same for all profiles, so it is sorted once; everything that
+    ranks afterwards compares one number instead of dates and long texts.
+    """
+    order = [
         F.col("posted_date").desc_nulls_last(),
         F.col("company").desc(),
         F.col("title").desc(),
         F.col("ordinal").asc(),
     ]
+    few = postings.select("ordinal", "posted_date", "company", "title")
+    return number_rows(few, order, "tie", scratch).select("ordinal", "tie")
 
 
 def profile_vocabulary(profiles: DataFrame) -> DataFrame:
@@ -231,8 +243,7 @@ def _candidates(
     """``(profile_no, ordinal)`` pairs that contain every profile's best ``k``."""
     none = F.array().cast("array<string>")
     posts = postings.select(
-        "ordinal", "posted_date", "company", "title", "seniority_label",
-        "opt_cpt_flag",
+        "ordinal", "tie", "seniority_label", "opt_cpt_flag",
         F.array_sort(F.array_distinct(F.coalesce("concentration_tags", none))).alias(
             "concentration_tags"
         ),
@@ -278,13 +289,13 @@ def _candidates(
             ),
         ),
         ["feature", "opt", "seniority_label"],
-        tie_order(),
+        [F.col("tie")],
         k,
     )
     by_term = _first(
         plain.filter(F.size("frequent") > 0),
         ["frequent", "concentration_tags", "opt", "seniority_label"],
-        tie_order(),
+        [F.col("tie")],
         k,
     ).withColumn("feature", F.explode("frequent"))
     # a posting of the first kind meets every profile already when all are kept
@@ -295,7 +306,14 @@ def _candidates(
         "wanted", F.array_sort(F.filter("terms", lambda t: F.array_contains(vocab, t)))
     ).withColumn(
         "class",
-        F.to_json(F.struct("wanted", "concentration", "needs_opt", "preferred_seniority")),
+        F.unhex(
+            F.sha2(
+                F.to_json(
+                    F.struct("wanted", "concentration", "needs_opt", "preferred_seniority")
+                ),
+                256,
+            )
+        ),
     )
     classes = classed.select(
         "class", "wanted", "concentration", "needs_opt", "preferred_seniority"
@@ -315,10 +333,10 @@ def _candidates(
     class_score = _sum(F.transform(shown, lambda t: _weight_of(t, w))) + _dense_score(w)
     class_best = _first(
         class_features.join(stand_ins, "feature")
-        .withColumn("class_score", class_score)
-        .dropDuplicates(["class", "ordinal"]),
+        .select("class", "ordinal", "tie", class_score.alias("class_score"))
+        .distinct(),
         ["class"],
-        [F.col("class_score").desc(), *tie_order()],
+        [F.col("class_score").desc(), F.col("tie")],
         k,
     ).select("class", "ordinal", "class_score")
     class_best = scratch.keep(class_best, "class-best")
@@ -382,7 +400,8 @@ def rank_matches(
     """Ranked matches: score desc, date desc (NULLs last), company and title desc,
     input order.  ``rank_position`` is 1-based inside the returned matches.
 
-    ``postings`` come from :func:`posting_features`, ``profiles`` from
+    ``postings`` come from :func:`posting_features`, written to a table since they
+    are read several times; ``profiles`` from
     ``profile_features`` (consenting ones).  With ``limit=None`` every posting is
     returned for every profile, as asked; that output is their product, so pass
     few profiles.
@@ -392,28 +411,36 @@ def rank_matches(
         raise ValueError("limit must be a positive integer")
     # pruning needs additive evidence; otherwise every pair is scored
     k = limit if min(w.skill, w.role, w.concentration) >= 0 else None
-    posts = scratch.keep(postings.select(*POSTING_COLUMNS), "rank-postings")
+    postings = postings.select(*POSTING_COLUMNS)
+    ties = with_tie(postings, scratch)
+    signals = scratch.keep(
+        postings.select("ordinal", *SIGNAL_COLUMNS).join(ties, "ordinal"), "rank-signals"
+    )
     people = scratch.keep(profiles.select(*PROFILE_COLUMNS), "rank-profiles")
     pairs = scratch.keep(
-        _candidates(posts, people, k, w, scratch, pair_budget, max_frequent), "rank-pairs"
+        _candidates(signals, people, k, w, scratch, pair_budget, max_frequent), "rank-pairs"
     )
     # a popular posting is a candidate for very many profiles
-    counts = pairs.groupBy(F.col("ordinal")).agg(F.count(F.lit(1)).alias("n"))
-    full = lookup_join(
-        pairs, posts, "ordinal", counts=counts, total_rows=pairs.count()
-    ).join(people, "profile_no")
-    scored = with_score(full, w)
-    order = [F.col("score").desc(), *tie_order()]
+    scored = with_score(
+        _spread_lookup(pairs, signals).join(people, "profile_no"), w
+    ).select("profile_no", "ordinal", "tie", "score")
+    order = [F.col("score").desc(), F.col("tie")]
     if limit is None:
         ranked = number_rows(scored, order, "rank_position", scratch, ["profile_no"])
     else:
         ranked = scored.withColumn(
             "rank_position",
-            F.row_number().over(W.partitionBy("profile_no").orderBy(*order)),
+            F.row_number().over(W.partitionBy("profile_no").orderBy(*order)).cast("bigint"),
         ).filter(F.col("rank_position") <= limit)
-    return with_reasons(
-        ranked.withColumn("rank_position", F.col("rank_position").cast("bigint")), w
-    )
+    ranked = scratch.keep(ranked.drop("tie"), "rank-positions")
+    # the wide columns come back for the matches only
+    full = _spread_lookup(ranked, postings).join(people, "profile_no")
+    return with_reasons(full, w)
+
+
+def _spread_lookup(rows: DataFrame, postings: DataFrame) -> DataFrame:
+    counts = rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
+    return lookup_join(rows, postings, "ordinal", counts=counts, total_rows=rows.count())
 
 
 def export_position(ranked: DataFrame, scratch: Scratch) -> DataFrame:

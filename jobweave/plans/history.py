@@ -8,6 +8,7 @@ One writer at a time is assumed.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,15 +109,18 @@ class History:
             raise OSError(f"history root cannot be created: {self.root}")
 
     def _entries(self) -> list:
-        """Manifest entries since the last compaction: a few short rows per run."""
+        """Live manifest entries; the manifest has a few short rows per run."""
         path = f"{self.root}/_manifest"
         fs, p = self._fs(path)
         if not fs.exists(p):
             return []
-        m = self.spark.read.schema(_MANIFEST).json(path)
-        start = m.groupBy("table").agg(F.max(F.when(F.col("replaces"), F.col("seq"))).alias("start"))
-        live = m.join(start, "table").filter(F.col("start").isNull() | (F.col("seq") >= F.col("start")))
-        return live.orderBy("seq", "table").collect()
+        rows = self.spark.read.schema(_MANIFEST).json(path).collect()
+        start: dict[str, int] = {}
+        for r in rows:
+            if r["replaces"]:
+                start[r["table"]] = max(r["seq"], start.get(r["table"], 0))
+        live = [r for r in rows if r["seq"] >= start.get(r["table"], 0)]
+        return sorted(live, key=lambda r: (r["seq"], r["table"]))
 
     def next_seq(self) -> int:
         return 1 + max((r["seq"] for r in self._entries()), default=0)
@@ -170,12 +174,16 @@ class History:
 
     def publish(self, seq: int, run_id: str, tables: Mapping[str, DataFrame], *, replaces: bool = False) -> None:
         """Write all tables, then make them visible together."""
-        rows = []
-        for name, df in tables.items():
-            path = f"{name}/v={seq:010d}"
+        paths = {name: f"{name}/v={seq:010d}" for name in tables}
+
+        def write(name: str) -> None:
             # a folder of the same number can only be left over from a failed run
-            df.write.mode("overwrite").parquet(f"{self.root}/{path}")
-            rows.append((seq, run_id, name, path, replaces))
+            tables[name].write.mode("overwrite").parquet(f"{self.root}/{paths[name]}")
+
+        # independent jobs: let Spark run them side by side
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            list(pool.map(write, tables))
+        rows = [(seq, run_id, name, path, replaces) for name, path in paths.items()]
         self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").json(
             f"{self.root}/_manifest"
         )

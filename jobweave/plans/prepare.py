@@ -13,7 +13,6 @@ from jobweave.operators.dedup import KEYS, kept_ordinals, with_dedup_keys
 from jobweave.operators.quality import is_valid, normalize, profile_features
 from jobweave.operators.rank import POSTING_COLUMNS, posting_features, profile_vocabulary
 from jobweave.operators.scratch import Scratch
-from jobweave.operators.skew import spread
 from jobweave.vocab import SENIORITY_TERMS, Taxonomy
 
 
@@ -47,7 +46,7 @@ def prepare(
     people = profile_features(profiles)
     folded = F.col("_folded")
     normalized = (
-        normalize(spread(postings, "ordinal"))
+        normalize(postings)
         .withColumn("_folded", folded_description())
         .withColumn("valid", is_valid())
     )
