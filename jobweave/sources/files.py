@@ -6,12 +6,17 @@ It needs no shuffle and does not depend on how Spark groups the files.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.schemas import REJECT_SCHEMA
 
 FILE_SHIFT = 36
+BROADCAST_FILES = 100_000
+# listings and metadata columns write the slashes after the scheme differently
+_SLASHES = re.compile(r"^([A-Za-z][A-Za-z0-9+.\-]*):/+")
 _ROW_BITS = (1 << 33) - 1
 
 
@@ -22,13 +27,19 @@ class ExportError(ValueError):
 def number_files(df: DataFrame) -> DataFrame:
     """Add ``file_no``: the position of the row's file among the scanned files.
 
-    The file list is the driver's own listing, one short entry per file.
+    The file list is the driver's own listing, one short entry per file; it is
+    broadcast up to ``BROADCAST_FILES`` entries.
     """
-    paths = sorted(df.inputFiles())
+    paths = sorted(_SLASHES.sub(r"\1:/", p) for p in df.inputFiles())
     files = df.sparkSession.createDataFrame(
         list(enumerate(paths)), "file_no bigint, file_path string"
     )
-    return df.join(F.broadcast(files), "file_path", "left").withColumn(
+    if len(paths) <= BROADCAST_FILES:
+        files = F.broadcast(files)
+    same = df.withColumn(
+        "file_path", F.regexp_replace("file_path", _SLASHES.pattern, "$1:/")
+    )
+    return same.join(files, "file_path", "left").withColumn(
         "file_no",
         F.coalesce("file_no", F.raise_error(F.lit("file is not in the scan list")).cast("bigint")),
     )
