@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobweave.functions.keys import student_key
 from jobweave.functions.text import casefold, strip, terms_of, text_or_null
 from jobweave.functions.urls import is_http_url, normal_url
+from jobweave.schemas import settle
 from jobweave.vocab import (
     DEFAULT_MATCH_FREQUENCY,
     NEEDS_SPONSORSHIP,
@@ -43,7 +44,7 @@ def contract_problems() -> Column:
 
 def check_contract(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split raw postings into (postings with stripped texts, rejects)."""
-    checked = raw.withColumn("_problems", contract_problems())
+    checked = settle(raw.withColumn("_problems", contract_problems()))
     good = checked.filter(F.size("_problems") == 0).drop("_problems")
     good = good.withColumns(
         {

@@ -74,3 +74,14 @@ def require_columns(df: DataFrame, schema: T.StructType, what: str) -> DataFrame
     if missing:
         raise ValueError(f"{what} lacks column(s): {', '.join(missing)}")
     return df
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Fix the computed columns of ``df`` as values.
+
+    Filters that follow are otherwise pushed below the projection with every
+    expression copied into them; a few layers of coalesced aliases would make the
+    plan grow without bound.  A generator over one row stops that, lazily and
+    without a shuffle.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))

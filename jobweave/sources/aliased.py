@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from jobweave.functions.text import stable_hash, strip, text_or_null
 from jobweave.functions.values import clean_list, parse_bool, parse_date, parse_list
 from jobweave.operators.quality import check_contract, rejects
-from jobweave.schemas import POSTING_SCHEMA, conform
+from jobweave.schemas import POSTING_SCHEMA, conform, settle
 from jobweave.sources.files import (
     ExportError,
     fail_if,
@@ -49,7 +49,9 @@ def map_fields(raw: DataFrame) -> DataFrame:
         found = [text_or_null(F.col(f"`{by_key[a]}`")) for a in aliases if a in by_key]
         fields[name] = F.coalesce(*found) if found else F.lit(None).cast("string")
     payload = F.col("raw_payload") if "raw_payload" in raw.columns else F.lit(None).cast("string")
-    return raw.select("ordinal", payload.alias("raw_payload"), *[v.alias(k) for k, v in fields.items()])
+    return settle(
+        raw.select("ordinal", payload.alias("raw_payload"), *[v.alias(k) for k, v in fields.items()])
+    )
 
 
 def missing_fields() -> Column:
@@ -98,7 +100,7 @@ def to_postings(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.struct("raw_payload", F.col("source_job_id").isNull().alias("source_job_id_was_generated"))
         ),
     )
-    good, broken = check_contract(shaped)
+    good, broken = check_contract(settle(shaped))
     return good, skipped.unionByName(broken)
 
 
@@ -153,7 +155,9 @@ def _from_objects(records: DataFrame) -> DataFrame:
             F.filter("_e", lambda e: e["key"] == F.lit(alias)), F.lit(-1)
         )["value"].alias(alias)
 
-    return entries.select("ordinal", F.col("record").alias("raw_payload"), *map(last, ALL_ALIASES))
+    return settle(
+        entries.select("ordinal", F.col("record").alias("raw_payload"), *map(last, ALL_ALIASES))
+    )
 
 
 def read_aliased_json(spark: SparkSession, path: str | list[str]) -> DataFrame:

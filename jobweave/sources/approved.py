@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobweave.functions.text import strip, text_or_null
 from jobweave.functions.values import parse_date
 from jobweave.operators.quality import check_contract, rejects
-from jobweave.schemas import POSTING_SCHEMA, conform
+from jobweave.schemas import POSTING_SCHEMA, conform, settle
 from jobweave.sources.files import fail_if, record_ordinal, whole_documents
 
 _ENVELOPE_TEXTS = ("source_name", "approved_by", "approval_date", "access_method")
@@ -168,6 +168,7 @@ def read_approved(
             F.lit("Value error, one of url, apply_url, or post_url is required"),
         ).otherwise(F.col("problem")),
     )
+    typed = settle(typed)
     shaped = conform(
         typed.filter(F.col("problem").isNull()),
         POSTING_SCHEMA,
@@ -185,7 +186,7 @@ def read_approved(
         opt_cpt_flag=_flag(),
         raw_metadata=_raw_metadata(),
     )
-    good, broken = check_contract(shaped)
+    good, broken = check_contract(settle(shaped))
     bad = rejects(typed.filter(F.col("problem").isNotNull()), "record", F.col("problem")).unionByName(
         broken
     )
