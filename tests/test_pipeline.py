@@ -42,7 +42,7 @@ def test_export_run_with_history(spark, tmp_path, scratch):
     )
     out = str(tmp_path / "out" / "results.csv")
     run = run_export(spark, output_path=out, **args)
-    rows = spark.read.option("header", True).csv(out)
+    rows = spark.read.option("header", True).option("escape", '"').csv(out)
     assert tuple(rows.columns) == EXPORT_COLUMNS
     got = [(r["student_id"], r["title"], r["final_score"]) for r in rows.collect()]
     assert got == [("s-1", "Data Analyst Intern", "11.0"), ("s-2", "Cybersecurity Analyst Intern", "10.0")]
