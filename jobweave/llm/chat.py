@@ -147,13 +147,12 @@ def windows(
 
 
 def parsed(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """Read windows back: (conv_id, window, turns, losses), new turns only.
+    """Read windows back: (conv_id, window, turns, losses, chars), new turns only.
 
     ``turns`` are (role, text) in order and ``losses`` the texts under the mask.
     """
-    pieces = F.slice(
-        F.split("formatted", F.lit(rf"\Q{template.open}\E"), -1), F.col("n_context") + 2, F.lit(2**31 - 1)
-    )
+    split = F.split("formatted", F.lit(rf"\Q{template.open}\E"), -1)
+    pieces = F.slice(split, F.col("n_context") + 2, F.size(split))
     turn = F.transform(
         pieces,
         lambda p: F.struct(
@@ -169,4 +168,4 @@ def parsed(formatted: DataFrame, template: Template = Template()) -> DataFrame:
         "mask",
         lambda m: template.unescape(F.col("formatted").substr(m["start"] + 1, m["length"])),
     )
-    return formatted.select("conv_id", "window", turn.alias("turns"), loss.alias("losses"))
+    return formatted.select("conv_id", "window", turn.alias("turns"), loss.alias("losses"), F.length("formatted").alias("chars"))

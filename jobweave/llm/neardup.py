@@ -52,17 +52,26 @@ class OnePermutation:
         self.salt = _mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def signature(self, hashes: np.ndarray) -> np.ndarray:
-        bins, none = np.full(self.bins, 0xFFFFFFFFFFFFFFFF, np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF)
+        none = np.uint64(0xFFFFFFFFFFFFFFFF)
+        bins = np.full(self.bins, none)
         at = ((hashes >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)).astype(np.int64)
         np.minimum.at(bins, at, _mixed(hashes))
         full = bins != none
-        for b in np.flatnonzero(~full):
-            donors = self.walks[b][full[self.walks[b]]]
-            attempt = 0
-            while not len(donors):  # very few full bins: the walk goes on
+        empty = np.flatnonzero(~full)
+        for width in (16, self.walks.shape[1]):
+            hit = full[self.walks[empty, :width]]
+            step = hit.argmax(1)
+            ok = hit[np.arange(len(empty)), step]
+            bins[empty[ok]] = bins[self.walks[empty[ok], step[ok]]]
+            empty = empty[~ok]
+            if not len(empty):
+                break
+        for b in empty:  # very few full bins: the walk goes on
+            attempt, donors = 0, np.zeros(0, np.int64)
+            while not len(donors):
                 attempt += 1
-                seeds = np.uint64(b << 20) + np.arange(64 * attempt + 1, 64 * attempt + 65, dtype=np.uint64)
-                more = (_mixed(seeds) % np.uint64(self.bins)).astype(np.int64)
+                steps = np.arange(64 * attempt + 1, 64 * attempt + 65, dtype=np.uint64)
+                more = (_mixed(np.uint64(b << 20) + steps) % np.uint64(self.bins)).astype(np.int64)
                 donors = more[full[more]]
             bins[b] = bins[donors[0]]
         return bins
