@@ -20,6 +20,8 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +65,7 @@ class Writer:
 
     def _frame(self) -> None:
         if self.held:
-            raw = np.concatenate(self.parts).astype("<u4").tobytes()
+            raw = np.concatenate(self.parts).tobytes()
             packed = self.zip.compress(raw)
             self.stream.write(packed)
             self.frames.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
@@ -159,15 +161,18 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(tokenizer)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known: dict[bytes, list[int]] = {}
-        self.end = end_id
+        # ids as bytes: a document is one join, and an entry takes little memory
+        self.known: dict[bytes, bytes] = {}
+        self.end = np.array([end_id], "<u4").tobytes()
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 4096):
+            for e in self.tok.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word or self.added:
-            return [np.array([*ids, self.end], np.uint32) for ids in self._library(texts)]
+            return [np.frombuffer(ids + self.end, "<u4") for ids in self._library(texts)]
         split = []
         for t in texts:
             data = t.encode()
@@ -175,23 +180,24 @@ class WordEncoder:
             split.append((data.lower() if self.fold and b"<|" not in data else data).split())
         known = self.known
         if len(known) > CACHE_ENTRIES:
-            known.clear()
-        new = {w for words in split for w in words if w not in known}
-        # a word and one mark behind it are two tokens' worth to the pre-tokenizer
+            for w in [*islice(known, CACHE_ENTRIES // 2)]:
+                del known[w]
+        new = {w for words in split for w in words}.difference(known)
+        # a word and one mark behind it are split by the pre-tokenizer
         marked = {w for w in new if w[-1:] in (b".", b",") and len(w) > 1 and w[-2:-1].isalpha()}
-        ask = list({w[:-1] if w in marked else w for w in new} | ({b".", b","} if marked else set()))
-        ask = [w for w in ask if w not in known]
+        ask = {w[:-1] if w in marked else w for w in new} | ({b".", b","} if marked else set())
+        ask = [*ask.difference(known)]
         known.update(zip(ask, self._library([w.decode() for w in ask])))
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1:]]
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            ids.append(self.end)
-            out.append(np.array(ids, np.uint32))
-        return out
+        ids = known.__getitem__
+        return [np.frombuffer(b"".join(map(ids, words)) + self.end, "<u4") for words in split]
+
+
+@lru_cache(maxsize=1)
+def encoder(tokenizer: str, end_id: int) -> WordEncoder:
+    """The worker's encoder; tasks that follow each other share what it remembers."""
+    return WordEncoder(tokenizer, end_id)
 
 
 def write(docs: DataFrame, tokenizer: str, root: str, scratch: Scratch, *, end_id: int = 1) -> DataFrame:
@@ -210,14 +216,14 @@ def write(docs: DataFrame, tokenizer: str, root: str, scratch: Scratch, *, end_i
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, first, last, writer = WordEncoder(tokenizer, end_id), None, None, None, None
+        enc, out, first, last, writer = encoder(tokenizer, end_id), None, None, None, None
         number = TaskContext.get().partitionId()
         fs, folder = opened(root)
         path = f"{folder}/tokens-{number:06d}.zst"
         part = f"{path}.{uuid.uuid4().hex}"
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                s = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 256):
+                s = b.slice(at, 256)
                 if out is None:
                     fs.create_dir(folder, recursive=True)
                     out = fs.open_output_stream(part)
