@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from jobweave.llm.common import opened, publish
 from jobweave.operators.scratch import Scratch
 
-BATCH_TOKENS = 2_000_000
+COUNT_TOKENS, SCORE_TOKENS = 1_000_000, 250_000  # handled at a time
 END = xxhash.xxh64_intdigest(b"\n")  # no word contains white space
 _GOLD, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BLOBS = "bucket long, data binary"
@@ -83,17 +83,20 @@ def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
 
-def _token_batches(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Key values and tokens of about BATCH_TOKENS tokens of whole documents."""
+def _token_batches(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+    """Key columns and tokens (of the last column) of about ``limit`` tokens of whole
+    documents."""
     keys, docs, size = [], [], 0
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(column).to_pylist()):
-            keys.append(key)
-            docs.append(token_hashes(text))
-            size += len(docs[-1])
-            if size >= BATCH_TOKENS:
-                yield keys, docs
-                keys, docs, size = [], [], 0
+        for at in range(0, b.num_rows, 1024):
+            columns = [c.to_pylist() for c in b.slice(at, 1024).columns]
+            for *key, text in zip(*columns):
+                keys.append(key)
+                docs.append(token_hashes(text))
+                size += len(docs[-1])
+                if size >= limit:
+                    yield keys, docs
+                    keys, docs, size = [], [], 0
     if docs:
         yield keys, docs
 
@@ -218,7 +221,7 @@ def train(docs: DataFrame, scratch: Scratch, *, shards: int | None = None) -> Mo
     n_shards = model.shards
 
     def count_words(batches):
-        for _, tokens in _token_batches(batches, 0):
+        for _, tokens in _token_batches(batches, COUNT_TOKENS):
             key, n = np.unique(np.concatenate(tokens), return_counts=True)
             yield _sent(_bucket(key, n_shards), key=key, n=_small(n))
 
@@ -241,7 +244,7 @@ def train(docs: DataFrame, scratch: Scratch, *, shards: int | None = None) -> Mo
     model.hot = max(1000, model.n_tokens // (2 * n_shards))
 
     def count_pairs(batches):
-        for _, tokens in _token_batches(batches, 0):
+        for _, tokens in _token_batches(batches, COUNT_TOKENS):
             word, context, starts = _pairs(tokens, model, "word", "n")
             shard = model.pair_shard(context, word["id"], _context_tokens(word, starts, model))
             order = np.lexsort((word["id"], context, shard))
@@ -333,7 +336,7 @@ def score(docs: DataFrame, model: Model, *, keys: tuple[str, ...] = ("doc_id",))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model
-        for ids, docs_ in _token_batches(_keyed(batches), 1):
+        for ids, docs_ in _token_batches(batches, SCORE_TOKENS):
             word, context, starts = _pairs(docs_, m, "uni", "n", "total", "n1", "n2", "n3", "follows")
             start = m.shard("start", 0) if m.n_pairs else {k: [0] for k in ("total", "n1", "n2", "n3")}
             ctx = {}
@@ -371,25 +374,6 @@ def score(docs: DataFrame, model: Model, *, keys: tuple[str, ...] = ("doc_id",))
     )
 
 
-def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The key columns as one column of tuples beside the text."""
-    for b in batches:
-        for at in range(0, b.num_rows, 4096):
-            s = b.slice(at, 4096)
-            yield _Two(list(zip(*[c.to_pylist() for c in s.columns[:-1]])), s.columns[-1])
-
-
-class _Two:
-    def __init__(self, keys: list, texts) -> None:
-        self.keys, self.texts = keys, texts
-
-    def column(self, i: int):
-        return self.texts if i else self
-
-    def to_pylist(self) -> list:
-        return self.keys
-
-
 def _pair_counts(m: Model, context: np.ndarray, word: dict, starts: np.ndarray) -> np.ndarray:
     """Training counts of (context, word) per token; 0 when either is unknown."""
     out = np.zeros(len(context), np.int64)
