@@ -13,6 +13,7 @@ from jobweave.llm.common import components
 from jobweave.operators.scratch import Scratch
 
 BANDS, ROWS = 40, 5  # a pair at similarity 0.8 misses all bands once in 8 million
+CENTRES = 4  # of a bucket in each later round
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -137,8 +138,8 @@ def near_duplicates(
        edge, to the bucket's centre: a bucket of m nodes gives m - 1 edges.
     3. Candidates are confirmed on the whole sets.
     4. A star can miss a link between two members neither of which is the centre.  So
-       buckets whose members lie in several components get new centres, drawn by a
-       hash, and edges to them across components, until a round confirms nothing.
+       buckets whose members lie in several components get CENTRES new centres, drawn
+       by hashes, and edges to them across components, until a round confirms nothing.
 
     Rows without words have set size 0, link with nothing and are kept.  Rows with a
     null doc_id also link with nothing: component null, kept.  Rows that share a
@@ -195,16 +196,23 @@ def near_duplicates(
     )
     found = scratch.keep(confirmed(tested), "links")
     links, turn = links.unionByName(found), 0
+    left = members.select("bucket", "m", F.col("m.node").alias("node"))
     while True:
         label = components(links, scratch)
         turn += 1
-        marked = members.select("bucket", "m", F.col("m.node").alias("node")).join(label, "node", "left")
-        marked = marked.select("bucket", "m", F.coalesce("component", "node").alias("part"))
+        marked = left.join(label, "node", "left")
+        marked = marked.select("bucket", "m", "node", F.coalesce("component", "node").alias("part"))
+        who = F.struct("m", "part")
         several = marked.groupBy("bucket").agg(
             F.min("part").alias("lo"), F.max("part").alias("hi"),
-            F.min_by(F.struct("m", "part"), F.xxhash64(F.lit(turn), "m.node", "bucket")).alias("centre"),
-        ).filter("lo <> hi").select("bucket", "centre")
-        again = marked.join(several, "bucket").filter("part <> centre.part")
+            F.array_distinct(F.array(*[
+                F.min_by(who, F.xxhash64(F.lit(CENTRES * turn + i), "m.node", "bucket")) for i in range(CENTRES)
+            ])).alias("centres"),
+        ).filter("lo <> hi").select("bucket", "centres")
+        # a bucket inside one component is done: components only grow
+        open_ = scratch.keep(marked.join(several, "bucket"), "open-buckets")
+        left = open_.select("bucket", "m", "node")
+        again = open_.select("m", "part", F.explode("centres").alias("centre")).filter("part <> centre.part")
         again = again.select("m", F.col("centre.m").alias("c")).filter(near("c", "m"))
         pairs = again.select(
             F.least("c.node", "m.node").alias("a"), F.greatest("c.node", "m.node").alias("b")
