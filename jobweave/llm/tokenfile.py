@@ -36,7 +36,7 @@ from jobweave.operators.scratch import Scratch
 
 FRAME_IDS = 1 << 18
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 MANIFEST = "file_no int, path string, n_docs long, n_ids long, first_id long, last_id long"
 
 
