@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import io
+import uuid
 from collections.abc import Sequence
 
 import pyarrow.fs as pafs
@@ -123,17 +123,9 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
 def publish(uri: str, data: bytes) -> None:
     """Write a file so that it is there whole or not at all, also when a task is
     repeated or runs twice at the same time."""
-    import uuid
-
     fs, path = opened(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         out.write(data)
     fs.move(part, path)
-
-
-def fetched(uri: str) -> io.BytesIO:
-    fs, path = opened(uri)
-    with fs.open_input_stream(path) as f:
-        return io.BytesIO(f.read())

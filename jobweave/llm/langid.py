@@ -81,7 +81,7 @@ def fit(
                 for lang, s in sums.items():
                     at = np.flatnonzero(s)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(at)), pa.array(at), pa.array(s[at])], names=["lang", "bucket", "n"]
+                        [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(s[at], pa.int64())], names=["lang", "bucket", "n"]
                     )
 
         summed = (

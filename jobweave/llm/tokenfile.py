@@ -226,7 +226,7 @@ def write(docs: DataFrame, tokenizer: str, root: str, scratch: Scratch, *, end_i
                 s = b.slice(at, 256)
                 if out is None:
                     fs.create_dir(folder, recursive=True)
-                    out = fs.open_output_stream(part)
+                    out = fs.open_output_stream(part, compression=None)
                     writer = Writer(out)
                 ids = s.column(0).to_pylist()
                 known = [i for i in ids if i is not None]
