@@ -23,7 +23,25 @@ def parse_date(c: Column) -> Column:
     compact = F.when(
         t.rlike(r"^\d{8}($|[T ]\d{2})"), F.try_to_date(F.substring(t, 1, 8), "yyyyMMdd")
     )
-    return F.coalesce(dashed, compact)
+    return F.coalesce(dashed, compact, _week_date(t))
+
+
+def _week_date(t: Column) -> Column:
+    """ISO week dates, ``2026-W23-2``, ``2026-W23`` and ``2026W232``; the day is Monday
+    when it is left out.  Week 53 only in years that have one."""
+    pattern = r"^(\d{4})(-?)W(\d{2})(?:\2([1-7]))?(?:$|[T ]\d{2})"
+    part = lambda i: F.regexp_extract(t, pattern, i)
+    year, week = part(1).try_cast("int"), part(3).try_cast("int")
+    day = F.coalesce(part(4).try_cast("int"), F.lit(1))
+    fourth = F.when(t.rlike(pattern) & (year > 0), F.make_date(year, F.lit(1), F.lit(4)))
+    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
+    return F.when((week >= 1) & (F.year(F.date_add(monday, 3)) == year), F.date_add(monday, day - 1))
+
+
+def strict_date(c: Column) -> Column:
+    """A whole ``yyyy-MM-dd`` text and nothing behind it, else NULL."""
+    t = strip(c)
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
 
 
 def parse_list(c: Column) -> Column:

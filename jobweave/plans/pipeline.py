@@ -94,13 +94,13 @@ def run_export(
     postings = scratch.keep(postings, "postings")
     raw_count = raw.count()
     if raw_count == 0:
-        raise RunFailed(f"Input file contains no job records: {input_path}")
+        raise RunFailed(f"{input_path} holds no records")
     if not postings.limit(1).collect():
-        raise RunFailed(f"No usable jobs found in input after validation: {input_path}")
+        raise RunFailed(f"every record of {input_path} was refused")
     profiles = read_profiles(spark, profiles_path)
     prepared = prepare(postings, profiles, scratch, taxonomy=taxonomy, identify=True)
     if not prepared.kept.limit(1).collect():
-        raise RunFailed("No valid jobs remained after normalization")
+        raise RunFailed("no posting passed the checks after normalisation")
     people, silent = consenting(prepared.people)
     ranked = scratch.keep(
         rank_matches(prepared.unique, people, scratch, limit=limit, weights=weights), "ranked"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.functions.text import strip, text_or_null
-from jobweave.functions.values import parse_date
+from jobweave.functions.values import strict_date
 from jobweave.operators.quality import check_contract, rejects
 from jobweave.schemas import POSTING_SCHEMA, conform, settle
 from jobweave.sources.files import fail_if, record_ordinal, whole_documents
@@ -41,7 +41,7 @@ def _envelope_problem() -> Column:
     for f in _ENVELOPE_TEXTS:
         bad = F.coalesce(strip(meta(f)) == "", F.lit(True))
         if f == "approval_date":
-            bad = bad | parse_date(meta(f)).isNull()
+            bad = bad | strict_date(meta(f)).isNull()
         out = out.when(bad, F.lit(f"metadata.{f}: Field required"))
     out = out.when(
         terms.isin("false", "0", "no", "n", "f", "off"),
@@ -80,7 +80,7 @@ def _record_problem() -> Column:
         )
     out = out.when(
         (F.coalesce(_type_of("posted_date"), F.lit("VOID")) != "VOID")
-        & parse_date(_text("posted_date")).isNull(),
+        & strict_date(_text("posted_date")).isNull(),
         F.lit("posted_date: Input should be a valid date"),
     )
     for f in _LISTS:
@@ -175,7 +175,7 @@ def read_approved(
         source=F.coalesce(text_or_null(_text("source")), "source_name"),
         **{f: _text(f) for f in (*_REQUIRED, "source_job_id", "employment_type", "seniority")},
         url=_first_text("url", "apply_url", "post_url"),
-        posted_date=parse_date(_text("posted_date")),
+        posted_date=strict_date(_text("posted_date")),
         **{
             f: F.coalesce(
                 F.try_variant_get("_v", f"$.{f}", "array<string>"),

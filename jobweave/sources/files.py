@@ -11,9 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.schemas import REJECT_SCHEMA
-
 FILE_SHIFT = 36
+MAX_FILES = 1 << 22  # of one source; what is above numbers the sources
 BROADCAST_FILES = 100_000
 # listings and metadata columns write the slashes after the scheme differently
 _SLASHES = re.compile(r"^([A-Za-z][A-Za-z0-9+.\-]*):/+")
@@ -46,8 +45,10 @@ def number_files(df: DataFrame) -> DataFrame:
 
 
 def record_ordinal(position: Column) -> Column:
-    checked = F.when(position < F.lit(1 << FILE_SHIFT), position).otherwise(
-        F.raise_error(F.lit("file too large to number its records")).cast("bigint")
+    """Both parts are checked: an ordinal that overflows would mix records."""
+    fits = (position < F.lit(1 << FILE_SHIFT)) & (F.col("file_no") < F.lit(MAX_FILES))
+    checked = F.when(fits, position).otherwise(
+        F.raise_error(F.lit("too many files or too large a file to number the records")).cast("bigint")
     )
     return F.shiftleft(F.col("file_no"), FILE_SHIFT) + checked
 
@@ -75,10 +76,6 @@ def line_positions(df: DataFrame) -> DataFrame:
     ).withColumn("file_path", F.col("_metadata.file_path"))
 
 
-def no_rejects(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], REJECT_SCHEMA)
-
-
 def fail_if(bad: DataFrame, reason: str) -> None:
     """Raise when ``bad`` has a row; ``reason`` names a text column of it."""
     first = bad.select(reason).limit(1).collect()

@@ -15,6 +15,7 @@ Source = Callable[[SparkSession, str], DataFrame]
 
 # Files of one source stay below this position.
 SOURCE_SHIFT = 58
+MAX_SOURCES = 32  # the bits left above the shift, without the sign
 
 
 class SourceNotAllowed(RuntimeError):
@@ -57,11 +58,15 @@ def allowed_only(postings: DataFrame, registered: DataFrame) -> DataFrame:
 
 def union_sources(parts: Sequence[DataFrame]) -> DataFrame:
     """Sources one after the other; ``ordinal`` keeps (source, input order)."""
+    if len(parts) > MAX_SOURCES:
+        raise ValueError(f"at most {MAX_SOURCES} sources can be numbered")
     out = None
     for i, part in enumerate(parts):
         shifted = require_columns(part, POSTING_SCHEMA, f"source {i}").select(
             *[
-                (F.col("ordinal") + F.lit(i << SOURCE_SHIFT)).alias("ordinal")
+                (F.when(F.col("ordinal") < F.lit(1 << SOURCE_SHIFT), F.col("ordinal")).otherwise(
+                    F.raise_error(F.lit("ordinal too large to number sources")).cast("bigint")
+                ) + F.lit(i << SOURCE_SHIFT)).alias("ordinal")
                 if c == "ordinal"
                 else F.col(c)
                 for c in POSTING_SCHEMA.fieldNames()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobweave.operators.quality import check_contract
 from jobweave.operators.scratch import Scratch
+from jobweave.operators.skew import number_rows
 from jobweave.plans.history import History, persist_run
 from jobweave.plans.prepare import prepare
 from jobweave.schemas import POSTING_SCHEMA, PROFILE_SCHEMA
@@ -24,11 +26,14 @@ def ingest_stream(
     taxonomy: Taxonomy | None = None,
     seniority_terms=SENIORITY_TERMS,
     check: bool = False,
+    max_files: int = 1000,
 ) -> None:
     """Process everything that has landed since the last call, then stop.
 
     A micro-batch is one run: de-duplicated in itself, resolved against the stored
-    identities, folded into the history.  The batch number is the run id, so a
+    identities, folded into the history.  Exports that land together may number their
+    postings alike, so a batch is numbered afresh by file and position.  At most
+    ``max_files`` files make a batch.  The batch number is the run id, so a
     batch that is replayed after a failure is recognised and skipped.  Identities
     are kept for ever, as in the batch path; a watermark would change results.
     """
@@ -38,7 +43,10 @@ def ingest_stream(
         if history.has_run(run_id):
             return
         with Scratch(spark) as scratch:
-            rows = check_contract(batch)[0] if check else batch
+            order = [F.col("_file"), F.col("ordinal")]
+            rows = number_rows(batch, order, "_position", scratch)
+            rows = rows.withColumn("ordinal", F.col("_position")).drop("_file", "_position")
+            rows = check_contract(rows)[0] if check else rows
             rows = scratch.keep(rows, "batch")
             nobody = spark.createDataFrame([], PROFILE_SCHEMA)
             prepared = prepare(
@@ -53,7 +61,9 @@ def ingest_stream(
 
     query = (
         spark.readStream.schema(POSTING_SCHEMA)
+        .option("maxFilesPerTrigger", max_files)
         .parquet(landing)
+        .select("*", F.col("_metadata.file_path").alias("_file"))
         .writeStream.foreachBatch(one)
         .option("checkpointLocation", offsets)
         .trigger(availableNow=True)

@@ -79,3 +79,16 @@ def test_dates_lists_bools(spark):
     assert one(spark, values.parse_bool(F.lit("0"))) is False
     assert one(spark, values.parse_bool(F.lit("maybe"))) is None
     assert one(spark, values.week_bucket(F.lit("2026-06-03").cast("date"))) == "2026-06-01"
+
+
+def test_dates(spark):
+    from datetime import date
+
+    from jobweave.functions.values import parse_date, strict_date
+
+    texts = ["2026-W23-2", "2026-W23", "2026W232", "2026-W53-7", "2025-W53-1", "2026-W00-1", "2026-06-02 tomorrow", " 2026-06-02 "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.orderBy("i").select(parse_date(F.col("t")), strict_date(F.col("t"))).collect()
+    june = date(2026, 6, 2)
+    assert [r[0] for r in got] == [june, date(2026, 6, 1), june, date(2027, 1, 3), None, None, june, june]
+    assert [r[1] for r in got] == [None] * 7 + [june]
