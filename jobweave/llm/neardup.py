@@ -221,7 +221,9 @@ def near_duplicates(
         found = scratch.keep(confirmed(pairs), "links")
         if found.isEmpty():
             break
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
+        # the labels stand for all earlier links
+        links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        tested = tested.unionByName(pairs)
     lab = label.select(F.col("node").alias("l"), "component")
     part = groups.join(lab, F.col("node") == F.col("l"), "left").select(
         F.col("key").alias("k"), F.coalesce("component", "node").alias("component")
