@@ -29,7 +29,9 @@ KINDS: dict[str, str] = {
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "name": rf"(?<![\p{{L}}.-]){_TITLE}\p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+# nothing begins inside a word of letters: those places are passed over at once
+_INSIDE = r"(?![A-Za-z](?<=[A-Za-z]{2})|[\u0370-\u04ff](?<=\p{L}{2}))"
+PATTERN = f"{_INSIDE}(?:{'|'.join(f'(?:{p})' for p in KINDS.values())})"
 
 # fixed values: syllables of made-up names by script, and endings by gender
 _SYLLABLES = {
@@ -164,9 +166,14 @@ def _gender(kind: Column, head: Column) -> Column:
     ).otherwise("")
 
 
-def _surrogate(key: str) -> Column:
+def _stream(key: str) -> Column:
+    """Hex digits that depend on the key, the entity and the attempt."""
     seed = F.concat_ws("\x1f", F.lit(key), "kind", "gender", "norm", F.col("attempt").cast("string"))
-    stream = F.concat(*[_hex(seed, i) for i in range(4)])
+    return F.concat(*[_hex(seed, i) for i in range(4)])
+
+
+def _surrogate() -> Column:
+    stream = F.col("stream")
     at = F.length(F.substring_index("norm", ".", -1)) + 1
     local = F.col("norm").substr(F.lit(1), F.length("norm") - at)
     email = F.concat(_letters(local, stream), F.lit("."), F.substring_index("norm", ".", -1))
@@ -203,7 +210,8 @@ def surrogate_table(entities: DataFrame, key: str, scratch: Scratch) -> DataFram
     pending = entities.withColumn("attempt", F.lit(0))
     settled = None
     while True:
-        tried = pending.withColumn("surrogate", _surrogate(key))
+        # a column of its own: the digests are computed once an entity, not once a letter
+        tried = pending.withColumn("stream", _stream(key)).withColumn("surrogate", _surrogate()).drop("stream")
         free = tried.join(
             real, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("v")), "left_anti"
         )
@@ -252,15 +260,16 @@ def with_surrogates(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     stays null with 0 entities; repeated rows and null ids are rows like others; an
     empty table gives no rows.
     """
-    rows = docs.select(F.struct("*").alias("row"))
     text = F.coalesce("row.text", F.lit(""))
-    pattern = F.lit(PATTERN)
-    found = scratch.keep(
-        rows.filter(text.rlike(PATTERN)).select(
-            "row", F.monotonically_increasing_id().alias("id"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("entities")
+    # one search through every text; all later steps read what it found
+    rows = scratch.keep(
+        docs.select(F.struct("*").alias("row")).select(
+            "row", F.monotonically_increasing_id().alias("id"),
+            F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("entities"),
         ),
-        "with-entities",
+        "entities",
     )
+    found = rows.filter(F.size("entities") > 0)
     kind = _kind(F.col("entity"))
     mentions = found.select("id", F.posexplode("entities").alias("pos", "entity")).withColumn("kind", kind)
     head, value = _parts(F.col("entity"), F.col("kind"))
@@ -279,7 +288,7 @@ def with_surrogates(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         "row", F.array_join(put, "").alias("text"), F.size("ms").cast("long").alias("n_entities"),
         F.array_sort(F.array_distinct("ms.kind")).alias("kinds"),
     )
-    same = rows.filter(~text.rlike(PATTERN)).select(
+    same = rows.filter(F.size("entities") == 0).select(
         "row", F.col("row.text").alias("text"), F.lit(0).cast("long").alias("n_entities"),
         F.array().cast("array<string>").alias("kinds"),
     )
