@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.common import components
@@ -169,10 +169,10 @@ def near_duplicates(
         "sets",
     )
 
-    def near(c: str, m: str):
+    def near(c: Column, m: Column) -> Column:
         """The sizes alone allow the similarity."""
-        small, large = F.least(f"{c}.n", f"{m}.n"), F.greatest(f"{c}.n", f"{m}.n")
-        return (100 * small >= percent * large) & (F.col(f"{c}.node") != F.col(f"{m}.node"))
+        small, large = F.least(c["n"], m["n"]), F.greatest(c["n"], m["n"])
+        return (100 * small >= percent * large) & (c["node"] != m["node"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
@@ -191,7 +191,7 @@ def near_duplicates(
     )
     links = scratch.keep(links.select("a", "b").distinct(), "links")
     tested = scratch.keep(
-        members.filter(near("c", "m")).select(F.col("c.node").alias("a"), F.col("m.node").alias("b")).distinct(),
+        members.filter(near(F.col("c"), F.col("m"))).select(F.col("c.node").alias("a"), F.col("m.node").alias("b")).distinct(),
         "candidates",
     )
     found = scratch.keep(confirmed(tested), "links")
@@ -212,8 +212,10 @@ def near_duplicates(
         # a bucket inside one component is done: components only grow
         open_ = scratch.keep(marked.join(several, "bucket"), "open-buckets")
         left = open_.select("bucket", "m", "node")
-        again = open_.select("m", "part", F.explode("centres").alias("centre")).filter("part <> centre.part")
-        again = again.select("m", F.col("centre.m").alias("c")).filter(near("c", "m"))
+        other = F.filter(
+            "centres", lambda c: (c["part"] != F.col("part")) & near(c["m"], F.col("m"))
+        )
+        again = open_.select("m", F.explode(other).alias("centre")).select("m", F.col("centre.m").alias("c"))
         pairs = again.select(
             F.least("c.node", "m.node").alias("a"), F.greatest("c.node", "m.node").alias("b")
         ).distinct()
