@@ -139,7 +139,8 @@ def near_duplicates(
     3. Candidates are confirmed on the whole sets.
     4. A star can miss a link between two members neither of which is the centre.  So
        buckets whose members lie in several components get CENTRES new centres, drawn
-       by hashes, and edges to them across components, until a round confirms nothing.
+       by hashes, and edges to them across components, until a round that draws anew
+       for every bucket confirms nothing.
 
     Rows without words have set size 0, link with nothing and are kept.  Rows with a
     null doc_id also link with nothing: component null, kept.  Rows that share a
@@ -203,10 +204,13 @@ def near_duplicates(
         marked = left.join(label, "node", "left")
         marked = marked.select("bucket", "m", "node", F.coalesce("component", "node").alias("part"))
         who = F.struct("m", "part")
+        # first by the node alone: buckets that share members then share centres, and
+        # a large group is joined by few distinct edges; later by the bucket as well
+        seed = ("m.node",) if turn == 1 else ("m.node", "bucket")
         several = marked.groupBy("bucket").agg(
             F.min("part").alias("lo"), F.max("part").alias("hi"),
             F.array_distinct(F.array(*[
-                F.min_by(who, F.xxhash64(F.lit(CENTRES * turn + i), "m.node", "bucket")) for i in range(CENTRES)
+                F.min_by(who, F.xxhash64(F.lit(CENTRES * turn + i), *seed)) for i in range(CENTRES)
             ])).alias("centres"),
         ).filter("lo <> hi").select("bucket", "centres")
         # a bucket inside one component is done: components only grow
@@ -215,13 +219,18 @@ def near_duplicates(
         other = F.filter(
             "centres", lambda c: (c["part"] != F.col("part")) & near(c["m"], F.col("m"))
         )
-        again = open_.select("m", F.explode(other).alias("centre")).select("m", F.col("centre.m").alias("c"))
+        # a node lies in at most ``bands`` buckets: that bounds its array of centres
+        met = open_.select("m", other.alias("centres")).filter(F.size("centres") > 0)
+        met = met.groupBy("m").agg(
+            F.array_distinct(F.flatten(F.collect_list("centres"))).alias("centres")
+        )
+        again = met.select("m", F.explode("centres").alias("centre")).select("m", F.col("centre.m").alias("c"))
         pairs = again.select(
             F.least("c.node", "m.node").alias("a"), F.greatest("c.node", "m.node").alias("b")
         ).distinct()
         pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         found = scratch.keep(confirmed(pairs), "links")
-        if found.isEmpty():
+        if turn > 1 and found.isEmpty():
             break
         # the labels stand for all earlier links
         links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
