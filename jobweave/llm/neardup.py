@@ -14,6 +14,8 @@ from jobweave.operators.scratch import Scratch
 
 BANDS, ROWS = 40, 5  # a pair at similarity 0.8 misses all bands once in 8 million
 CENTRES = 4  # of a bucket in each later round
+SMALL = 32  # members of a bucket whose pairs are rows; those of larger ones stay in tasks
+BLOCK = 512  # members on one side of a task of pairs
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -122,6 +124,72 @@ def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, items array<long>")
 
 
+def _incidence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(vocabulary)), np.float32)
+    for r, x in enumerate(sets):
+        out[r, np.searchsorted(vocabulary, x[np.isin(x, vocabulary, assume_unique=True)])] = 1
+    return out
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, exact."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b)) if a and b else np.zeros(0, np.int64)
+    for at in range(0, len(both), width):
+        part = both[at : at + width]
+        out += (_incidence(a, part) @ _incidence(b, part).T).astype(np.int64)
+    return out
+
+
+def block_links(open_: DataFrame, sets: DataFrame, *, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) across components inside the buckets of ``open_``, from all pairs.
+
+    ``open_`` has (bucket, m, part).  The component with most members of a bucket is
+    not compared with itself: its blocks meet the blocks of the others, and those meet
+    each other.  Each pair of blocks is a task that returns one link a member and
+    component at most, never its pairs.
+    """
+    sizes = open_.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("bucket").agg(
+        F.max(F.struct("c", "part")).alias("most"), F.sum("c").alias("all")
+    ).select(
+        "bucket", F.col("most.part").alias("home"),
+        F.ceil(F.col("most.c") / block).cast("int").alias("nh"),
+        F.ceil((F.col("all") - F.col("most.c")) / block).cast("int").alias("nr"),
+    )
+    at_home = F.col("part") == F.col("home")
+    own = F.pmod(F.xxhash64("m.node"), F.when(at_home, F.col("nh")).otherwise(F.col("nr"))).cast("int")
+    others = F.when(at_home, F.sequence(F.lit(0), F.col("nr") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("nr") + F.col("nh") - 1)
+    )
+    tasks = open_.join(sizes, "bucket").withColumn(
+        "at", F.when(at_home, F.col("nr") + own).otherwise(own)
+    ).select("bucket", "m", "part", "at", F.explode(others).alias("o")).select(
+        "bucket", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"), "at",
+        F.col("m.node").alias("node"), "part",
+    ).join(sets, "node")
+
+    def compare(key, t):
+        p, q = key[1].as_py(), key[2].as_py()
+        side, node, part = (t.column(c).to_numpy() for c in ("at", "node", "part"))
+        items = [x.values.to_numpy() for x in t.column("items").combine_chunks()]
+        n = np.array([len(x) for x in items], np.int64)
+        a = np.flatnonzero(side == p)
+        b = a if p == q else np.flatnonzero(side == q)
+        small, large = np.minimum.outer(n[a], n[b]), np.maximum.outer(n[a], n[b])
+        may = (part[a][:, None] != part[b][None, :]) & (100 * small >= percent * large)
+        rows, cols = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        a, b, may = a[rows], b[cols], may[np.ix_(rows, cols)]
+        both = common_counts([items[i] for i in a], [items[j] for j in b])
+        i, j = np.nonzero(may & (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)))
+        x, y = node[a[i]], node[b[j]]
+        # one link of a member to each component says all
+        _, one = np.unique(np.stack([x, part[b[j]]]), axis=1, return_index=True)
+        return pa.table({"a": x[one], "b": y[one]})
+
+    return tasks.groupBy("bucket", "p", "q").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, *, shingle: int = 5, percent: int = 80,
     bands: int = BANDS, rows: int = ROWS,
@@ -141,6 +209,9 @@ def near_duplicates(
        buckets whose members lie in several components get CENTRES new centres, drawn
        by hashes, and edges to them across components, until a round that draws anew
        for every bucket confirms nothing.
+    5. Of buckets that still span components all pairs across components are tested:
+       as rows in buckets of at most SMALL members, else in tasks of pairs of blocks.
+       So every pair that shares a bucket is tested or lies in one component.
 
     Rows without words have set size 0, link with nothing and are kept.  Rows with a
     null doc_id also link with nothing: component null, kept.  Rows that share a
@@ -185,6 +256,21 @@ def near_duplicates(
             .select("a", "b").distinct()
         )
 
+    def paired(open_: DataFrame) -> DataFrame:
+        """Members and centres in other components whose sizes allow a link."""
+        other = F.filter(
+            "centres", lambda c: (c["part"] != F.col("part")) & near(c["m"], F.col("m"))
+        )
+        # a node lies in at most ``bands`` buckets: that bounds its array of centres
+        met = open_.select("m", other.alias("centres")).filter(F.size("centres") > 0)
+        met = met.groupBy("m").agg(
+            F.array_distinct(F.flatten(F.collect_list("centres"))).alias("centres")
+        )
+        again = met.select("m", F.explode("centres").alias("centre")).select("m", F.col("centre.m").alias("c"))
+        return again.select(
+            F.least("c.node", "m.node").alias("a"), F.greatest("c.node", "m.node").alias("b")
+        ).distinct()
+
     # a document that has several sets by a repeated id is one node
     own = groups.join(full.select(F.col("key"), "doc_id"), "key").filter("doc_id <> node")
     links = own.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).join(
@@ -216,25 +302,25 @@ def near_duplicates(
         # a bucket inside one component is done: components only grow
         open_ = scratch.keep(marked.join(several, "bucket"), "open-buckets")
         left = open_.select("bucket", "m", "node")
-        other = F.filter(
-            "centres", lambda c: (c["part"] != F.col("part")) & near(c["m"], F.col("m"))
-        )
-        # a node lies in at most ``bands`` buckets: that bounds its array of centres
-        met = open_.select("m", other.alias("centres")).filter(F.size("centres") > 0)
-        met = met.groupBy("m").agg(
-            F.array_distinct(F.flatten(F.collect_list("centres"))).alias("centres")
-        )
-        again = met.select("m", F.explode("centres").alias("centre")).select("m", F.col("centre.m").alias("c"))
-        pairs = again.select(
-            F.least("c.node", "m.node").alias("a"), F.greatest("c.node", "m.node").alias("b")
-        ).distinct()
-        pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+        pairs = scratch.keep(paired(open_).join(tested, ["a", "b"], "left_anti"), "candidates")
         found = scratch.keep(confirmed(pairs), "links")
         if turn > 1 and found.isEmpty():
             break
         # the labels stand for all earlier links
         links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
         tested = tested.unionByName(pairs)
+    # the labels are those of the last round's buckets: all pairs across components
+    counts = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    sized = scratch.keep(open_.select("bucket", "m", "part").join(counts, "bucket"), "sized-buckets")
+    few = sized.filter(F.col("size") <= SMALL)
+    whole = few.groupBy("bucket").agg(F.collect_list(F.struct("m", "part")).alias("centres"))
+    pairs = paired(few.join(whole, "bucket")).join(tested.unionByName(pairs), ["a", "b"], "left_anti")
+    found = confirmed(scratch.keep(pairs, "candidates"))
+    many = sized.filter(F.col("size") > SMALL).select("bucket", "m", "part")
+    found = scratch.keep(found.unionByName(block_links(many, sets, percent=percent)), "links")
+    if not found.isEmpty():
+        links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        label = components(links, scratch)
     lab = label.select(F.col("node").alias("l"), "component")
     part = groups.join(lab, F.col("node") == F.col("l"), "left").select(
         F.col("key").alias("k"), F.coalesce("component", "node").alias("component")
