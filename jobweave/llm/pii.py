@@ -51,10 +51,11 @@ def _number(stream: Column, at: Column | int) -> Column:
     return F.conv(F.substring(stream, at * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _letters(value: Column, stream: Column) -> Column:
-    """Every letter or digit replaced by one of its class; the rest stays.  Words of
-    hexadecimal digits alone keep to those."""
-    hexa = value.rlike("^[0-9a-f]{32,}$")
+def _letters(value: Column, stream: Column, attempt: Column) -> Column:
+    """Every letter or digit replaced by one of its class; the rest stays, unless the
+    value has no letter or digit: then every mark is replaced by a mark.  Words of
+    hexadecimal digits alone keep to those.  Later attempts add characters."""
+    hexa, marks = value.rlike("^[0-9a-f]{32,}$"), ~value.rlike(r"[\p{L}\p{N}]")
     pick = lambda s, n: F.substring(F.lit(s), n % len(s) + 1, F.lit(1))
 
     def one(c: Column, i: Column) -> Column:
@@ -64,10 +65,25 @@ def _letters(value: Column, stream: Column) -> Column:
             .when(c.rlike("[0-9]"), pick("0123456789", n))
             .when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", n))
             .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
+            .when(c.rlike(r"[\p{L}\p{M}&&\p{IsCyrillic}]"), F.when(c.rlike(r"\p{Lu}"), pick("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", n)).otherwise(pick("абвгдежзиклмнопрстуфхцчшэюя", n)))
+            .when(c.rlike(r"[\p{L}\p{M}&&\p{IsGreek}]"), F.when(c.rlike(r"\p{Lu}"), pick("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", n)).otherwise(pick("αβγδεζηθικλμνξοπρστυφχψω", n)))
+            .when(c.rlike(r"\p{IsHan}"), pick("人大中上下天木水火山石田日月心手口目耳足", n))
+            .when(c.rlike(r"\p{Lu}"), pick("ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ", n))
+            .when(c.rlike(r"[\p{L}\p{M}]"), pick("àáâãäåèéêëìíîïòóôõöùúûü", n))
+            .when(c.rlike(r"\p{N}"), pick("0123456789", n))
+            .when(marks & ~c.rlike(r"\s"), pick("!#$%&*+=?@^~_.", n))
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    more = F.when(hexa, "0").otherwise("a")  # a class to draw from
+    longer = F.concat(value, F.repeat(more, F.greatest(attempt - 3, F.lit(0))))
+    return F.array_join(F.transform(F.split(longer, ""), one), "")
+
+
+def _more_digits(stream: Column, attempt: Column) -> Column:
+    """Further digits from the fourth attempt on: the space never runs out."""
+    n = F.greatest(attempt - 3, F.lit(0))
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (_number(stream, (i + 31) % 64) % 10).cast("string")), "")).otherwise("")
 
 
 def _luhn(digits: Column) -> Column:
@@ -116,7 +132,8 @@ def _ip(norm: Column, stream: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
 
 
-def _name(norm: Column, stream: Column, gender: Column) -> Column:
+def _name(norm: Column, stream: Column, gender: Column, attempt: Column) -> Column:
+    """Words of made-up syllables; each attempt adds one to the first word."""
     def made(script: str) -> Column:
         syllables, f, m, x = _SYLLABLES[script]
         table = F.array(*[F.lit(s) for s in syllables])
@@ -124,7 +141,10 @@ def _name(norm: Column, stream: Column, gender: Column) -> Column:
 
         def word(w: Column, i: Column) -> Column:
             parts = [F.element_at(table, _number(stream, i * 8 + j) % len(syllables) + 1) for j in range(4)]
-            return F.initcap(F.concat(*parts[:3], F.when(i == 0, end).otherwise(parts[3])))
+            more = F.when((i == 0) & (attempt > 0), F.array_join(F.transform(
+                F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda j: F.element_at(table, _number(stream, (j + 39) % 64) % len(syllables) + 1)
+            ), "")).otherwise("")
+            return F.initcap(F.concat(*parts[:3], more, F.when(i == 0, end).otherwise(parts[3])))
 
         return F.array_join(F.transform(F.split(norm, " "), word), " ")
 
@@ -173,28 +193,28 @@ def _stream(key: str) -> Column:
 
 
 def _surrogate() -> Column:
-    stream = F.col("stream")
+    stream, attempt = F.col("stream"), F.col("attempt")
     at = F.length(F.substring_index("norm", ".", -1)) + 1
     local = F.col("norm").substr(F.lit(1), F.length("norm") - at)
-    email = F.concat(_letters(local, stream), F.lit("."), F.substring_index("norm", ".", -1))
+    email = F.concat(_letters(local, stream, attempt), F.lit("."), F.substring_index("norm", ".", -1))
     block = F.concat(
         F.regexp_extract("norm", r"^-----[^-]*-----", 0),
-        _letters(F.regexp_extract("norm", r"^-----[^-]*-----([^-]*)", 1), stream),
+        _letters(F.regexp_extract("norm", r"^-----[^-]*-----([^-]*)", 1), stream, attempt),
         F.regexp_extract("norm", r"-----END[^-]*-----$", 0),
     )
-    iban = F.concat(F.col("norm").substr(1, 2), _letters(F.col("norm").substr(F.lit(3), F.length("norm")), stream))
+    iban = F.concat(F.col("norm").substr(1, 2), _letters(F.col("norm").substr(F.lit(3), F.length("norm")), stream, attempt))
     prefix = F.regexp_extract("norm", r"^(?:AKIA|gh[pousr]_|sk-|eyJ)", 0)
-    secret = F.concat(prefix, _letters(F.col("norm").substr(F.length(prefix) + 1, F.length("norm")), stream))
+    secret = F.concat(prefix, _letters(F.col("norm").substr(F.length(prefix) + 1, F.length("norm")), stream, attempt))
     return (
         F.when(F.col("kind") == "email", email)
         .when(F.col("kind") == "key_block", block)
         .when(F.col("kind") == "secret", secret)
         .when(F.col("kind") == "iban", iban)
-        .when(F.col("kind") == "ip", _ip(F.col("norm"), stream, F.col("attempt")))
-        .when(F.col("kind") == "phone", _phone(F.col("norm"), stream))
-        .when(F.col("kind") == "national_id", _letters(F.col("norm"), stream))
+        .when(F.col("kind") == "ip", _ip(F.col("norm"), stream, attempt))
+        .when(F.col("kind") == "phone", F.concat(_phone(F.col("norm"), stream), _more_digits(stream, attempt)))
+        .when(F.col("kind") == "national_id", _letters(F.col("norm"), stream, attempt))
         .when(F.col("kind") == "card", _card(F.col("norm"), stream))
-        .otherwise(_name(F.col("norm"), stream, F.col("gender")))
+        .otherwise(_name(F.col("norm"), stream, F.col("gender"), attempt))
     )
 
 
@@ -241,7 +261,9 @@ def _laid_out(value: Column, kind: Column, surrogate: Column) -> Column:
             c.rlike("[0-9A-Z]"),
             F.struct(F.concat(a["out"], F.get(chars, a["n"])).alias("out"), (a["n"] + 1).alias("n")),
         ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n"))),
-    )["out"]
+        # what a later attempt has added follows
+        lambda a: F.concat(a["out"], F.array_join(F.slice(chars, a["n"] + 1, F.size(chars)), "")),
+    )
     return F.when(spaced, F.concat(F.when(value.startswith("+"), "+").otherwise(""), laid)).otherwise(surrogate)
 
 
