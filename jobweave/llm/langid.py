@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.llm.common import text_or_empty
 from jobweave.operators.scratch import Scratch
 
 BUCKETS = 1 << 15  # hashed byte trigrams of the text model
-PER_LANGUAGE = 2000  # labelled rows the text model is fitted on, about, per language
-MAX_LANGUAGES = 64  # the most frequent labels that are told apart
+PER_LANGUAGE = 2000  # labelled texts the text model is fitted on, at most, per language
 STRENGTH = 20.0  # rows a level of the host hierarchy weighs in the next one's prior
 EFFECTIVE = 200.0  # trigrams of a text are dependent: they count as at most so many
 UNKNOWN = "und"
@@ -50,26 +49,33 @@ class TextModel:
         return len(t), (mean * len(t) / (1 + len(t) / EFFECTIVE)).tolist()
 
 
-def fit(
-    labelled: DataFrame, *, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES
-) -> TextModel:
-    """A text model from (text, lang).
+def fit(labelled: DataFrame, *, per_language: int = PER_LANGUAGE) -> TextModel:
+    """A text model of every label from (text, lang).
 
-    Of each language about ``per_language`` rows take part, drawn by a hash of the
-    text, with their whole texts; that bounds the work.  Null texts or labels and
-    the label "und" do not.  No labelled row gives a model without languages.
+    Of each language at most ``per_language`` distinct texts take part, drawn by a
+    hash, each once and whole; that bounds the work.  The driver holds a row of
+    BUCKETS counts a label.  Null texts or labels and the label "und" do not take
+    part.  No labelled row gives a model without languages.
     """
     rows = labelled.select("text", "lang").filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)
     )
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    sizes = {r["lang"]: r["count"] for r in sizes}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    texts = rows.select("lang", "h").distinct()
+    sizes = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
     languages = sorted(sizes)
+    at = {x: i for i, x in enumerate(languages)}
     counts = np.zeros((len(languages), BUCKETS))
     if languages:
-        share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-        drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000
-        sample = rows.filter(drawn)
+        # a fifth more than needed by hash, so that few rows are numbered
+        share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * per_language / n)))])
+        place = F.pmod("h", F.lit(1_000_000))
+        drawn = texts.filter(place < F.element_at(share, F.col("lang")) * 1_000_000)
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
+        drawn = drawn.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("lang", "h")
+        # all copies of a text are one row
+        sample = rows.join(F.broadcast(drawn), ["lang", "h"], "left_semi")
+        sample = sample.groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
 
         def count(batches):
             for b in batches:
@@ -87,7 +93,7 @@ def fit(
         summed = (
             sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
         ).toArrow()  # at most languages * BUCKETS rows
-        row = np.array([languages.index(x) for x in summed.column("lang").to_pylist()], np.int64)
+        row = np.array([at[x] for x in summed.column("lang").to_pylist()], np.int64)
         counts[row, summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
     return TextModel(languages, counts)
 
