@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: spherical k-means cells, blocked cosine products in cells."""
+"""Near-duplicate vectors: spherical k-means cells, exact bounds, blocked cosine products."""
 
 from __future__ import annotations
 
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from jobweave.llm.common import components
 from jobweave.operators.scratch import Scratch
 
-PROBES = 16  # cells a vector is compared in, its own included
 SAMPLE_PER_CELL = 16  # vectors the cells are fitted on, per cell
-BLOCK = 1024  # vectors on one side of a product
+BLOCK = 2048  # vectors on one side of a product
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -54,19 +53,20 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def near_vectors(
-    vectors: DataFrame, scratch: Scratch, *, threshold: float = 0.9, probes: int = PROBES,
-    block: int = BLOCK,
+    vectors: DataFrame, scratch: Scratch, *, threshold: float = 0.9, block: int = BLOCK,
 ) -> DataFrame:
     """One row (vec_id, n_links, component_id, kept) per row of ``vectors``.
 
-    Vectors with cosine >= threshold, in double precision, that share a cell are
-    linked.  Equal vectors are one node with a weight.  The cells are fitted by
-    spherical k-means: sqrt(n) cells on a sample of 16 * sqrt(n) nodes, the ones of
-    the smallest id hashes, fitted on the driver.  Every node lives in its nearest
-    cell and visits the ``probes - 1`` next ones; living nodes of a cell are compared
-    with each other and with its visitors.  A pair that meets in two cells counts in
-    the one of smaller number.  A cell is cut into blocks of ``block`` nodes and each
-    pair of blocks is a task of its own, so a cell with a third of all vectors is many
+    All pairs of vectors with cosine >= threshold, in double precision, are linked.
+    Equal vectors are one node with a weight.  The cells are fitted by spherical
+    k-means: sqrt(n) / 4 cells on a sample, the nodes of the smallest id hashes, fitted
+    on the driver.  Every node lives in its nearest cell and visits those cells of
+    smaller number in which a linked node can live: if y lives at c, y * (c - d) >= 0
+    for each other centre d, so x * (d - c) <= |x - y| |c - d|, and the threshold
+    bounds |x - y|.  So every linked pair meets once, in the smaller of its two cells.
+    The bound leaves out cells only if the data lie in clusters; without them the work
+    is that of all pairs.  A cell is cut into blocks of ``block`` nodes and each pair
+    of blocks is a task of its own, so a cell with a third of all vectors is many
     tasks.  A task returns counts per node and one edge per node to the smallest node
     it reaches inside the task, never its pairs.
 
@@ -90,25 +90,26 @@ def near_vectors(
     )
     n, dims = nodes.agg(F.count(F.lit(1)), F.max(F.size("unit"))).first()
     if n:
-        k = math.isqrt(n - 1) + 1
+        k = math.isqrt(n - 1) // 4 + 1
         sample = nodes.select("unit", F.xxhash64("node").alias("h")).orderBy("h").limit(SAMPLE_PER_CELL * k)
         x = _matrix(sample.select("unit").toArrow().column(0), dims)
         centres = spark.sparkContext.broadcast(spherical_kmeans(x, min(k, len(x))))
-        near = min(probes, len(centres.value))
+        reach = math.sqrt(max(0.0, 2 - 2 * threshold))  # |x - y| of a linked pair, at most
 
         def assign(batches):
             c = centres.value
+            apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
             for b in batches:
                 u = _matrix(b.column(2), dims)
-                top = np.zeros((len(u), near), np.int32)
+                cells = []
                 for i in range(0, len(u), 2048):
                     s = u[i : i + 2048] @ c.T
-                    best = np.argpartition(-s, near - 1, axis=1)[:, :near]
-                    order = np.argsort(-np.take_along_axis(s, best, 1), axis=1, kind="stable")
-                    top[i : i + 2048] = np.take_along_axis(best, order, 1)
-                ends = pa.array(np.arange(0, top.size + 1, near, dtype=np.int32))
+                    home = s.argmax(1)
+                    may = s.max(1)[:, None] - s <= reach * apart[home] + 1e-9
+                    may &= np.arange(len(c))[None, :] < home[:, None]
+                    cells += [np.append(h, np.flatnonzero(m)).astype(np.int32) for h, m in zip(home, may)]
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.ListArray.from_arrays(ends, pa.array(top.ravel()))],
+                    [*b.columns, pa.array(cells, pa.list_(pa.int32()))],
                     names=["node", "w", "unit", "cells"],
                 )
 
@@ -132,29 +133,23 @@ def near_vectors(
             F.sequence(F.lit(0), F.col("nl") - 1)
         )
         tasks = dealt.join(F.broadcast(load), "cell").withColumn("at", at).select(
-            "cell", "at", F.explode(others).alias("o"), "node", "w", "unit", "cells"
+            "cell", "at", F.explode(others).alias("o"), "node", "w", "unit"
         ).select(
             "cell", F.least("at", "o").alias("p"), F.greatest("at", "o").alias("q"),
-            "at", "node", "w", "unit", "cells",
+            "at", "node", "w", "unit",
         )
 
         def compare(key, t):
-            cell, p, q = (s.as_py() for s in key)
+            _, p, q = (s.as_py() for s in key)
             side, node = t.column("at").to_numpy(), t.column("node").to_numpy()
             w, u = t.column("w").to_numpy(), _matrix(t.column("unit"), dims)
-            cells = _matrix(t.column("cells"), near).astype(np.int64)
             a = np.flatnonzero(side == p)
             b = a if p == q else np.flatnonzero(side == q)
             i, j = np.nonzero(u[a] @ u[b].T >= threshold)
             i, j = a[i], b[j]
             if p == q:
                 keep = i != j
-            else:
-                # a visitor's pair is counted in its home if the other visits there
-                # and that home has the smaller number
-                home = cells[j, 0]
-                keep = (home == cell) | (home > cell) | ~(cells[i] == home[:, None]).any(1)
-            i, j = i[keep], j[keep]
+                i, j = i[keep], j[keep]
             links = np.zeros(len(node), np.int64)
             np.add.at(links, i, w[j])
             if p != q:
