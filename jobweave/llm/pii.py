@@ -17,10 +17,10 @@ _LABEL = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']
 # kinds in the order they are tried at a place; what follows is matched whole
 KINDS: dict[str, str] = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{0,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----",
-    "secret": rf"\b{_LABEL}[^\s\"',;]{{6,200}}"
-    r"|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9_-]{20,100}"
-    r"|\beyJ[\w-]{10,2000}+\.[\w-]{10,4000}+\.[\w-]{10,1000}+|\b[0-9a-f]{32,64}+\b",
+    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,30}PRIVATE KEY-----",
+    "secret": rf"(?<![A-Za-z0-9]){_LABEL}[^\s\"',;]{{6,}}+"
+    r"|\bAKIA[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9_-]{20,}+"
+    r"|\beyJ[\w-]{10,}+\.[\w-]{10,}+\.[\w-]{10,}+|\b[0-9a-f]{32,64}+\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "phone": r"(?<!\d)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
@@ -199,7 +199,7 @@ def _surrogate() -> Column:
     email = F.concat(_letters(local, stream, attempt), F.lit("."), F.substring_index("norm", ".", -1))
     block = F.concat(
         F.regexp_extract("norm", r"^-----[^-]*-----", 0),
-        _letters(F.regexp_extract("norm", r"^-----[^-]*-----([^-]*)", 1), stream, attempt),
+        _letters(F.regexp_extract("norm", r"^-----[^-]*-----([\s\S]*)-----END", 1), stream, attempt),
         F.regexp_extract("norm", r"-----END[^-]*-----$", 0),
     )
     iban = F.concat(F.col("norm").substr(1, 2), _letters(F.col("norm").substr(F.lit(3), F.length("norm")), stream, attempt))
