@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import bpe, chat, langid, lm, mix, neardup, pii, tokenfile, vectors
-from jobweave.llm.common import table
+from jobweave.llm import (
+    bpe, chat, langid, lm, mix, neardup, pieces, pii, spelling, tokenfile, vectors, whiten,
+)
+from jobweave.llm.common import table, text_or_empty
 from jobweave.llm.exact import DigestIndex, deduplicate
 from jobweave.operators.scratch import Scratch
 
@@ -120,6 +122,50 @@ def op10_ngram_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def noisy_words() -> F.Column:
+    """Words of at least six letters of a document.  One letter is missing from each
+    run whose checksum with the doc_id (null: empty) is a multiple of 199."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    runs = F.regexp_extract_all(text_or_empty(), F.lit("[A-Za-z\u00C0-\u00FF]+"), F.lit(0))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"))
+
+    def noisy(run: F.Column) -> F.Column:
+        h = F.crc32(F.concat(name, run))
+        at = (h % F.length(run)).cast("int")
+        rest = F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2))
+        return F.when(h % 199 == 0, rest).otherwise(run)
+
+    long = F.filter(runs, lambda r: F.length(r) >= 6)
+    changed = F.transform(F.transform(long, lambda r: F.translate(r, upper, lower)), noisy)
+    return F.filter(changed, lambda w: F.length(w) >= 6)
+
+
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    counts = spelling.count_words(table(spark, sf, "documents"), noisy_words(), 5)
+    return spelling.variants(counts, Scratch(spark))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """The deviation is null where it does not fit a long."""
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", whiten.fixed_point(F.col("embedding"), 1024, 100000).alias("vector")
+    )
+    return whiten.whiten(rows, Scratch(spark)).select(
+        "vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
+
+
+def op13_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encode(table(spark, sf, "documents"), path, Scratch(spark))
+    return pieces.decode(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     found = [f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()]
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
