@@ -201,4 +201,32 @@ c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
 l AS (SELECT a, count(*) AS n FROM p GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
 FROM v JOIN c ON c.node = vec_id LEFT JOIN l ON l.a = vec_id""",
+        # crc32 by half bytes; a word's shapes have one letter left open or left out
+        "op11_spelling_variants": """
+WITH RECURSIVE crc AS (SELECT list_transform(range(16), lambda k: list_reduce([0, 1, 2, 3],
+    lambda c, i: xor(c >> 1, (c & 1) * 3988292384), k::BIGINT)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+l AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS name, w, count(*) AS k FROM (SELECT doc_id,
+    translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM r)
+  WHERE length(w) >= 6 GROUP BY ALL),
+x AS (SELECT w, k, hex(encode(name)) AS s FROM l),
+h AS (SELECT w, k, xor(4294967295, list_reduce(list_transform(range(length(s)),
+    lambda i: (instr('0123456789ABCDEF', substr(s, (i + 1 + 1 - 2 * (i % 2))::BIGINT, 1)) - 1)::BIGINT),
+    lambda c, b: xor(c >> 4, t[(xor(c, b) & 15) + 1]), 4294967295::BIGINT)) AS h FROM x, crc),
+n AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 199 = 0
+    THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM n),
+o AS (SELECT word, n, substr(word, 1, i - 1) || chr(10) || substr(word, i + 1) AS open,
+    substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM p),
+near AS (SELECT a.word AS a, b.word AS b, b.n FROM o a JOIN o b ON a.open = b.open AND a.word <> b.word
+  UNION SELECT o.word, n.word, n.n FROM o JOIN n ON n.word = o.less
+  UNION SELECT n.word, o.word, o.n FROM o JOIN n ON n.word = o.less),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, encode(b)) AS b, max(n) AS bn FROM near GROUP BY a),
+f AS (SELECT word, n.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN bn >= 5 * n.n THEN b END AS form,
+    CASE WHEN bn >= 5 * n.n THEN bn END AS form_n FROM n LEFT JOIN best ON best.a = n.word),
+w AS (SELECT word, coalesce(form, word) AS root FROM f
+  UNION SELECT w.word, f.form FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL),
+e AS (SELECT w.word, w.root FROM w JOIN f ON f.word = w.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e ON e.word = f.word""",
     }
