@@ -7,14 +7,17 @@ and what follows up to the next run), one after the other.  Each distinct marked
 of the corpus is segmented once; the ids come back to every place it stands.
 
 What moves is small: texts are cut in blocks that know their own distinct words, a
-place is a number in its block's word list, and only word lists meet the table.
+place is a number in its block's word list, and only the word lists meet.  The places
+themselves are written once, bucketed by block, and wait there for their ids.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from jobweave.operators.scratch import Scratch
 
 MARK = "▁"
-BLOCK_CHARS = 8_000_000  # of texts that share a word list; one longer text is a block of its own
+BLOCK_CHARS = 32_000_000  # of texts that share a word list; one longer text is a block of its own
+PACKED_WORDS = 1 << 18  # segmented words that are packed together
 # the first mark of a marked word is always there and is left out of its name
 _MARKED = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
 
@@ -77,24 +81,44 @@ def _lists(parts: Sequence[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, first bytes first: small numbers compress well so."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpacked(frame: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def blocks(docs: DataFrame, keys: Sequence[str], text: str, block_chars: int) -> DataFrame:
     """One row per block: (block, words, rows, sizes, codes).
 
     ``rows`` are the key columns of the block's texts, ``sizes`` their numbers of
-    places, ``codes`` a zstandard frame of all places as positions in ``words``.
+    places, ``codes`` all places, packed, as positions in ``words``.  A block's number
+    is below 2 ** 31.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        pack, schema = zstandard.ZstdCompressor(level=3), None
+        number = TaskContext.get().partitionId() << 11
+        schema = None
         place, rows, sizes, codes, chars = defaultdict(int), [], [], [], 0
         place.default_factory = place.__len__
 
         def closed() -> pa.RecordBatch:
             flat = np.concatenate([np.zeros(0, "<u4"), *codes])
+            times, words = np.bincount(flat, minlength=len(place)), list(place)
+            place.clear()
+            # rare words in alphabetical order: both the list and the numbers pack well
+            often, rare = np.flatnonzero(times > 3), np.flatnonzero(times <= 3).tolist()
+            order = often[np.argsort(-times[often])].tolist() + sorted(rare, key=words.__getitem__)
+            at = np.empty(len(order), np.uint32)
+            at[order] = np.arange(len(order))
             return _batch(schema, [
-                [number], [list(place)], pa.ListArray.from_arrays([0, sum(map(len, rows))], pa.concat_arrays(rows)),
-                [sizes], [pack.compress(flat.tobytes())],
+                [number], [[words[i] for i in order]],
+                pa.ListArray.from_arrays([0, len(rows)], pa.concat_arrays(rows)),
+                [sizes], [_packed(at[flat])],
             ])
 
         for b in batches:
@@ -108,6 +132,8 @@ def blocks(docs: DataFrame, keys: Sequence[str], text: str, block_chars: int) ->
                 if rows and chars + len(t) > block_chars:
                     yield closed()
                     number += 1
+                    if not number % (1 << 11):
+                        raise ValueError("a task has too many blocks; raise block_chars")
                     place, rows, sizes, codes, chars = defaultdict(int), [], [], [], 0
                     place.default_factory = place.__len__
                 found = marked_words(t)
@@ -127,20 +153,62 @@ def blocks(docs: DataFrame, keys: Sequence[str], text: str, block_chars: int) ->
     )
 
 
-def word_table(cut: DataFrame, model: str) -> DataFrame:
-    """(word, ids) of every distinct marked word of the blocks, each segmented once."""
+def segmented(cut: DataFrame, model: str) -> DataFrame:
+    """(block, found): the ids of the blocks' words, each distinct word segmented once.
+
+    Equal words meet in one task and stand next to each other there.  A word has at
+    most one row in a block.  ``found`` packs, for several words of a block, their
+    steps between their positions in its list, their numbers of ids, and the ids.
+    """
+
+    def packed(held: list) -> Iterator[pa.RecordBatch]:
+        place, size, ids = (np.concatenate(c) for c in zip(*held))
+        first, order = np.cumsum(size) - size, np.argsort(place)
+        block, at = place >> 32, place & 0xFFFFFFFF
+        ends = np.flatnonzero(np.append(np.diff(block[order]), 1)) + 1
+        frames = []
+        for part in np.split(order, ends[:-1]):
+            own = _runs(first[part], size[part])
+            steps = np.diff(at[part], prepend=0)
+            frames.append(_packed(np.concatenate([[len(part)], steps, size[part], ids[own]])))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[order][ends - 1]), pa.array(frames, pa.binary())], names=["block", "found"]
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(model)
-        lone = sp.piece_to_id(MARK)
-        schema = pa.schema([("word", pa.string()), ("ids", pa.list_(pa.int32()))])
+        known: dict[str, list[int]] = {}  # the last word may go on in the next batch
+        held, rows = [], 0
         for b in batches:
+            if not b.num_rows:
+                continue
             words = b.column(0).to_pylist()
-            ids = sp.encode(words, num_threads=1)
-            yield _batch(schema, [words, [i if w else [lone] for w, i in zip(words, ids)]])
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            found = dict(zip(new, sp.encode(new, num_threads=1)))
+            if "" in found:  # a mark with nothing behind it
+                found[""] = [sp.piece_to_id(MARK)]
+            known |= found
+            ids = [known[w] for w in words]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(size.sum()))
+            held.append((b.column(1).to_numpy(), size, flat))
+            known, rows = {words[-1]: known[words[-1]]}, rows + len(words)
+            if rows >= PACKED_WORDS:
+                yield from packed(held)
+                held, rows = [], 0
+        if held:
+            yield from packed(held)
+
+    words = cut.select("block", F.posexplode("words").alias("at", "word")).select(
+        "word", (F.shiftleft("block", 32) + F.col("at")).alias("place")
+    )
+    words = words.repartition("word").sortWithinPartitions("word")
+    return words.mapInArrow(run, "block long, found binary")
+
 
-    words = cut.select(F.explode("words").alias("word")).distinct()
-    return words.mapInArrow(run, "word string, ids array<int>")
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] numbers), then the same of the others."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 def encode(
@@ -150,53 +218,56 @@ def encode(
     """The key columns and ``ids`` (array of int, with ``end_id`` last unless that is
     None) of every row's whole text, exactly as the sentencepiece library encodes it.
 
-    A word has at most one row in a block, so no word owns many rows of the join, and
-    the ids that come back to a block are those of one word list.  A null text counts
-    as empty and gives the end id alone.  Rows are independent: repeated rows, null
-    keys and extra columns change nothing; an empty table gives no rows.  A model
-    whose pieces can cross marks is refused.
+    Memory holds one block.  A null text counts as empty and gives the end id alone.
+    Rows are independent: repeated rows, null keys and extra columns change nothing;
+    an empty table gives no rows.  A model whose pieces can cross marks is refused.
     """
     check_model(model)
-    cut = scratch.keep(blocks(docs, keys, text, block_chars), "blocks")
-    table = scratch.keep(word_table(cut, model), "words")
-    places = cut.select("block", F.posexplode("words").alias("at", "word"))
-    found = (
-        places.join(table, "word")
-        .groupBy("block")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("found"))
-        .select("block", F.col("found.ids").alias("ids"))
+    spark = docs.sparkSession
+    name = f"blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        blocks(docs, keys, text, block_chars).write.bucketBy(buckets, "block")
+        .option("path", f"{scratch.root}/{name}").option("compression", "zstd").saveAsTable(name)
     )
-    # a block without words (empty texts only) meets no row of ``found``
+    cut = spark.table(name)
+    found = segmented(cut, model).groupBy("block").agg(F.collect_list("found").alias("found"))
+    # a block of empty texts only has no words
     back = cut.select("block", "rows", "sizes", "codes").join(found, "block", "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        end = np.array([] if end_id is None else [end_id], np.int32)
+        end = np.array([] if end_id is None else [end_id], np.int64)
         for b in batches:
             for k in range(b.num_rows):
-                rows = b.column(1)[k].values
-                sizes = b.column(2)[k].values.to_numpy()
-                codes = np.frombuffer(unpack.decompress(b.column(3)[k].as_py()), "<u4").astype(np.int64)
-                known = b.column(4)[k].values
-                if known is None:
-                    known = pa.array([], pa.list_(pa.int32()))
-                first = known.offsets.to_numpy().astype(np.int64)
-                flat = known.values.to_numpy()
-                ends, at, held, since = np.cumsum(sizes), 0, [], 0
-                for i, e in enumerate(ends.tolist()):
-                    own, at = codes[at:e], e
-                    n = first[own + 1] - first[own]
-                    # positions in flat: a run of n numbers from each word's first
-                    take = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    held.append(np.concatenate([flat[take], end]))
-                    if sum(map(len, held)) > 1 << 20 or i == len(ends) - 1:
-                        keyed = rows.slice(since, len(held))
-                        yield pa.RecordBatch.from_arrays([keyed, _lists(held)], names=["row", "ids"])
-                        held, since = [], i + 1
+                rows, frames = b.column(1)[k].values, b.column(4)[k].as_py() or []
+                at, size, flat = [], [], [np.zeros(0, np.uint32)]
+                for x in map(_unpacked, frames):
+                    n = int(x[0])
+                    at.append(np.cumsum(x[1 : n + 1]))
+                    size.append(x[n + 1 : 2 * n + 1])
+                    flat.append(x[2 * n + 1 :])
+                flat = np.concatenate(flat)
+                size = np.concatenate([np.zeros(0, np.int64), *size])
+                at = np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64)
+                n, first = np.zeros_like(size), np.zeros_like(size)
+                n[at], first[at] = size, np.cumsum(size) - size
+                codes, since, held, many = _unpacked(b.column(3)[k].as_py()), 0, [], 0
+                ends = np.cumsum(b.column(2)[k].values.to_numpy()).tolist()
+                for i, (a, e) in enumerate(zip([0, *ends], ends)):
+                    own = codes[a:e]
+                    held.append(np.concatenate([flat[_runs(first[own], n[own])], end]))
+                    many += len(held[-1])
+                    if many > 1 << 18 or i == len(ends) - 1:
+                        yield pa.RecordBatch.from_arrays(
+                            [rows.slice(since, len(held)), _lists(held)], names=["row", "ids"]
+                        )
+                        held, many, since = [], 0, i + 1
 
     schema = ", ".join(f"`{k}`: {docs.schema[k].dataType.simpleString()}" for k in keys)
-    ids = back.mapInArrow(run, f"row struct<{schema}>, ids array<int>")
-    return ids.select("row.*", "ids")
+    ids = back.mapInArrow(run, f"row struct<{schema}>, ids array<int>").select("row.*", "ids")
+    ids.schema  # the plan is settled: the table's name is not needed any more
+    spark.sql(f"DROP TABLE {name}")
+    return ids
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -208,8 +279,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 s = b.slice(at, 256)
-                ids = s.column(s.schema.get_field_index("ids")).to_pylist()
-                texts = sp.decode([i or [] for i in ids], num_threads=1)
+                ids = s.column(s.schema.get_field_index("ids"))
+                ids = [i.values.to_numpy().tolist() if i.is_valid else [] for i in ids]
+                texts = sp.decode(ids, num_threads=1)
                 yield pa.RecordBatch.from_arrays(
                     [*s.columns, pa.array(texts, pa.string())], names=[*s.schema.names, "text"]
                 )
