@@ -110,6 +110,17 @@ SELECT d.doc_id AS ordinal,
 FROM documents d
 """
 
+# chains of up to 40 neighbours, numbered forwards, backwards or jumping, and one key
+# that holds many of them together
+CHAINS = """
+SELECT chain + CASE chain % 3 WHEN 0 THEN pos WHEN 1 THEN 39 - pos ELSE (pos * 17) % 40 END AS ordinal,
+  concat(CAST(chain AS {S}), part, 'u', CAST(pos - pos % 2 AS {S})) AS key_url,
+  CASE WHEN pos % 3 = 0 AND chain % 80 = 0 THEN 'hot' END AS key_source_id,
+  concat(CAST(chain AS {S}), part, 'c', CAST(pos + pos % 2 AS {S})) AS key_content
+FROM (SELECT chain, pos, CASE WHEN pos < 10 + chain % 31 THEN 'a' ELSE 'b' END AS part
+      FROM (SELECT d.doc_id - d.doc_id % 40 AS chain, d.doc_id % 40 AS pos FROM documents d) AS numbered) AS parted
+"""
+
 _TABLES = ("documents", "supplier", "nation", "pages", "customer", "labels")
 
 

@@ -629,6 +629,20 @@ def oracle_sql() -> dict[str, str]:
            WHERE d.ordinal NOT IN (SELECT ordinal FROM kept) AND o.ordinal IN (SELECT ordinal FROM kept)
            GROUP BY d.ordinal""",
     )
+    # row after row, as the rule is told
+    out["q_dedup_chain"] = f"""
+WITH RECURSIVE chains AS ({_sql(fx.CHAINS)}),
+k AS (SELECT row_number() OVER (ORDER BY ordinal) AS i, *,
+  list_filter(['u' || key_url, 's' || key_source_id, 'c' || key_content], lambda v: v IS NOT NULL) AS ks FROM chains),
+walk AS (SELECT 0::BIGINT AS i, ['']::VARCHAR[] AS seen, false AS kept
+  UNION ALL SELECT k.i, CASE WHEN list_has_any(w.seen, k.ks) THEN w.seen ELSE list_concat(w.seen, k.ks) END,
+    NOT list_has_any(w.seen, k.ks) FROM walk w JOIN k ON k.i = w.i + 1),
+f AS (SELECT k.*, walk.kept FROM k JOIN walk USING (i)),
+why AS (SELECT d.ordinal, min(CASE WHEN o.key_url = d.key_url THEN 0 WHEN o.key_source_id = d.key_source_id THEN 1 ELSE 2 END) AS p,
+    arg_min(o.ordinal, CASE WHEN o.key_url = d.key_url THEN 0 WHEN o.key_source_id = d.key_source_id THEN 1 ELSE 2 END) AS kept_ordinal
+  FROM f d JOIN f o ON o.kept AND NOT d.kept AND o.ordinal < d.ordinal AND list_has_any(o.ks, d.ks) GROUP BY 1)
+SELECT f.ordinal, f.kept, kept_ordinal, ['url', 'source_id', 'content'][p + 1] AS matched_on
+FROM f LEFT JOIN why USING (ordinal)"""
     cl = [*base_ctes(), *classified_ctes("valid")]
     out["q_classify"] = with_(
         cl,
@@ -746,6 +760,12 @@ def oracle_sql() -> dict[str, str]:
            UNION ALL SELECT 'deduped_jobs', job_key, job_key, n, 'run-' || last_run FROM jobs_state
            UNION ALL SELECT 'classification_results', job_key, job_key, n, 'run-' || last_run FROM jobs_state""",
     )
+    out["q_stream_ingest"] = with_(
+        hist,
+        """SELECT l.job_key, arg_max(v.title, l.run * 1000000000000 + l.ordinal) AS title,
+             arg_max(v.company, l.run * 1000000000000 + l.ordinal) AS company, count(*) AS seen_count
+           FROM jobs_log l JOIN valid v ON v.ordinal = l.ordinal GROUP BY l.job_key""",
+    )
     out["q_match_history"] = with_(
         hist_ranked,
         """SELECT sha256(lower(concat_ws(':', 'match', student_key, CAST(profile_version AS VARCHAR), job_key, 'deterministic-v0'))) AS match_key,

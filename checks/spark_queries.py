@@ -199,6 +199,16 @@ def q_duplicates(spark, sf):
     return attribute_duplicates(keyed, kept_ordinals(keyed, scratch))
 
 
+def q_dedup_chain(spark, sf):
+    scratch = Scratch(spark)
+    keyed = scratch.keep(fx.run_sql(spark, sf, fx.CHAINS), "chains")
+    kept = scratch.keep(kept_ordinals(keyed, scratch), "kept")
+    why = attribute_duplicates(keyed, kept)
+    return keyed.select("ordinal").join(why, "ordinal", "left").select(
+        "ordinal", F.col("kept_ordinal").isNull().alias("kept"), "kept_ordinal", "matched_on"
+    )
+
+
 def q_classify(spark, sf):
     return classify(_valid(spark, sf), fx.TAXONOMY).select(
         "ordinal", F.array_join("role_tags", ";").alias("role_tags"),
@@ -421,14 +431,16 @@ def q_table_counts(spark, sf):
 
 
 def q_stream_ingest(spark, sf):
-    """The same two runs as files landing in a folder, read as a stream."""
+    """The same two runs as files landing in a folder, read as a stream.  The files
+    are cut and sorted by ordinal, so their order is that of the postings."""
     scratch = Scratch(spark)
     landing = f"{scratch.root}/landing"
     posts = fx.postings(spark, sf)
     early = F.col("posted_date") < F.lit(RUN1_BEFORE)
     history = History(spark, f"{scratch.root}/history")
     for rows in (posts.filter(early), posts):
-        rows.select(*POSTING_SCHEMA.fieldNames()).write.mode("append").parquet(landing)
+        ranged = rows.select(*POSTING_SCHEMA.fieldNames()).repartitionByRange("ordinal")
+        ranged.sortWithinPartitions("ordinal").write.mode("append").parquet(landing)
         ingest_stream(
             spark, landing, history, f"{scratch.root}/offsets", taxonomy=fx.TAXONOMY,
             seniority_terms=fx.SENIORITY,

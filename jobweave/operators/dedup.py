@@ -3,27 +3,28 @@
 A row is kept unless it shares a key with an *earlier kept* row.  A dropped row
 blocks nobody, so this is neither a chain of ``dropDuplicates`` nor connected
 components: the kept rows are the lexicographically first maximal independent
-set of the graph "shares a key", which a few rounds of joins compute exactly.
+set of the graph "shares a key".  No row can influence another component's rows, so
+the sequential rule runs inside each component, all components side by side.
+Only a component too large for one task is first broken up by rounds of joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions.keys import dedup_signature, dedup_source_key
 from jobweave.functions.urls import canonical_url
-from jobweave.operators.scratch import Scratch
+from jobweave.operators.components import component_labels
+from jobweave.operators.scratch import Rolling, Scratch
 from jobweave.operators.skew import lookup_join
 
-# After this many rounds a rest of at most so many keys is finished in one task;
-# a larger rest goes through further rounds.
-FINISH_AFTER_ROUNDS = 1
-FINISH_BELOW_ROWS = 100_000
-
+# Rows of a component that one task goes through; a larger component, or a key with
+# more rows, takes a round of joins first.  Results do not depend on it.
+COMPONENT_ROWS = 100_000
 
 KEYS = ("key_url", "key_source_id", "key_content")
 
@@ -45,25 +46,51 @@ def kept_ordinals(
     keys: Sequence[str] = KEYS,
     *,
     hot_floor: int | None = None,
-    finish_after: int = FINISH_AFTER_ROUNDS,
-    finish_below: int = FINISH_BELOW_ROWS,
+    component_rows: int = COMPONENT_ROWS,
 ) -> DataFrame:
-    """``ordinal`` of every row the sequential first-seen rule would keep."""
+    """``ordinal`` of every row the sequential first-seen rule would keep.
+
+    Rows whose keys nobody else has are kept at once.  The others fall into components;
+    a chain of n rows is labelled in about log n rounds and decided in one task, so no
+    number of jobs or tables follows the length of chains.  A round of joins decides
+    every row that is first on all its keys, and its rivals, which breaks up what hot
+    keys hold together.
+    """
     # Rows equal on all keys share the fate of their first one.
     first = keyed.groupBy(*keys).agg(F.min("ordinal").alias("ordinal"))
-    open_keys = scratch.keep(_long(first, keys), "dedup-keys")
+    opened, counted = Rolling(scratch, "dedup-open"), Rolling(scratch, "dedup-stats")
+    open_keys = opened.keep(_long(first, keys))
     kept_parts: list[DataFrame] = []
-    rounds = 0
+    giant = False
     while True:
-        total = open_keys.count()
-        if total == 0:
+        stats = counted.keep(
+            open_keys.groupBy("key").agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("n"))
+        )
+        total, largest = stats.agg(F.sum("n"), F.max("n")).first()
+        if not total:
             break
-        if rounds >= finish_after and total <= finish_below:
-            kept_parts.append(scratch.keep(_finish(open_keys), "dedup-kept"))
+        if giant or largest > component_rows:
+            kept, rest = _round(open_keys, stats, total, scratch, hot_floor)
+            kept_parts.append(kept)
+            open_keys, giant = opened.keep(rest), False
+            continue
+        # no key has more rows than a task can hold: plain joins on it are fine
+        met = open_keys.join(stats.filter("n > 1").select("key"), "key")
+        shared = scratch.keep(met.select(F.col("ordinal").alias("node"), "key"), "dedup-shared")
+        lone = open_keys.select("ordinal").distinct().join(
+            shared.select(F.col("node").alias("ordinal")), "ordinal", "left_anti"
+        )
+        kept_parts.append(scratch.keep(lone, "dedup-kept"))
+        labelled = shared.join(component_labels(shared, scratch), "node")
+        sizes = labelled.groupBy("label").agg(F.count_distinct("node").alias("rows"))
+        large = scratch.keep(sizes.filter(F.col("rows") > component_rows).select("label"), "dedup-large")
+        small = labelled.join(F.broadcast(large), "label", "left_anti")  # few: each has many rows
+        kept_parts.append(scratch.keep(_sequential(small), "dedup-kept"))
+        if large.isEmpty():
             break
-        kept, open_keys = _round(open_keys, total, scratch, hot_floor)
-        kept_parts.append(kept)
-        rounds += 1
+        rest = labelled.join(F.broadcast(large), "label", "left_semi")
+        open_keys = opened.keep(rest.select(F.col("node").alias("ordinal"), "key"))
+        giant = True
     # rows without any key never meet another row
     keyless = keyed.filter(F.coalesce(*[F.col(k) for k in keys]).isNull())
     kept = keyless.select("ordinal")
@@ -87,15 +114,10 @@ def _long(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _round(
-    open_keys: DataFrame, total: int, scratch: Scratch, hot_floor: int | None
+    open_keys: DataFrame, stats: DataFrame, total: int, scratch: Scratch, hot_floor: int | None
 ) -> tuple[DataFrame, DataFrame]:
-    """Decide every open row that is first on all of its keys, and its rivals."""
-    stats = scratch.keep(
-        open_keys.groupBy("key").agg(
-            F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("n")
-        ),
-        "dedup-stats",
-    )
+    """Decide every open row that is first on all of its keys, and its rivals: the
+    kept rows, and the rows that stay open."""
     skew = dict(counts=stats, total_rows=total, floor=hot_floor)
     kept = scratch.keep(
         lookup_join(open_keys, stats.select("key", "first"), "key", **skew)
@@ -112,25 +134,26 @@ def _round(
     decided = (
         lookup_join(open_keys, claimed, "key", **skew).select("ordinal").distinct()
     )
-    rest = open_keys.join(decided, "ordinal", "left_anti")
-    return kept, scratch.keep(rest, "dedup-open")
+    return kept, open_keys.join(decided, "ordinal", "left_anti")
 
 
-def _finish(open_keys: DataFrame) -> DataFrame:
-    """Sequential rule over a rest whose size the caller has checked."""
+def _sequential(labelled: DataFrame) -> DataFrame:
+    """The first-seen rule inside every component of (label, node, key)."""
 
-    def sequential(pdf: pd.DataFrame) -> pd.DataFrame:
+    def decide(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("node")
+        mine: dict[int, set[bytes]] = {}
+        for node, key in zip(rows.column("node").to_pylist(), rows.column("key").to_pylist()):
+            mine.setdefault(node, set()).add(key)
         seen: set[bytes] = set()
         kept = []
-        for ordinal, mine in pdf.groupby("ordinal", sort=True)["key"]:
-            mine = set(map(bytes, mine))
-            if not mine & seen:
-                seen |= mine
-                kept.append(ordinal)
-        return pd.DataFrame({"ordinal": pd.Series(kept, dtype="int64")})
-
-    rest = open_keys.withColumn("rest", F.lit(0))
-    return rest.groupBy("rest").applyInPandas(sequential, "ordinal bigint")
+        for node, keys in mine.items():
+            if seen.isdisjoint(keys):
+                seen |= keys
+                kept.append(node)
+        return pa.table({"ordinal": pa.array(kept, pa.int64())})
+
+    return labelled.groupBy("label").applyInArrow(decide, "ordinal bigint")
 
 
 def deduplicate(postings: DataFrame, scratch: Scratch, **options) -> DataFrame:

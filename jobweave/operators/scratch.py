@@ -38,20 +38,42 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a DataFrame that reads it back."""
+        return self._keep(df, name)[0]
+
+    def _keep(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.mode("errorifexists").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
 
-    def close(self) -> None:
-        """Delete the folder; call it when no result reads from it any more."""
+    def _delete(self, folder: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         path.getFileSystem(conf).delete(path, True)
 
+    def close(self) -> None:
+        """Delete the folder; call it when no result reads from it any more."""
+        self._delete(self.root)
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *exc: object) -> None:
         self.close()
+
+
+class Rolling:
+    """A table that is replaced round by round: only the latest version is left."""
+
+    def __init__(self, scratch: Scratch, name: str) -> None:
+        self.scratch, self.name = scratch, name
+        self._path: str | None = None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write the next version, which may read the one before, and drop that."""
+        new, path = self.scratch._keep(df, self.name)
+        if self._path is not None:
+            self.scratch._delete(self._path)
+        self._path = path
+        return new

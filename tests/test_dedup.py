@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from jobweave.operators.components import component_labels
 from jobweave.operators.dedup import KEYS, attribute_duplicates, deduplicate, kept_ordinals
 
 
@@ -30,10 +31,10 @@ def random_rows(n, spread, seed):
 @pytest.mark.parametrize(
     "n,spread,options",
     [
-        (300, 120, dict(finish_below=0)),  # rounds only
-        (300, 120, dict(finish_after=0)),  # sequential finish only
-        (300, 400, dict(finish_below=0, hot_floor=3)),  # hot-key joins
-        (200, 60, dict()),
+        (300, 120, dict(component_rows=1)),  # rounds until every key stands alone
+        (300, 120, dict(component_rows=6)),  # rounds, then components
+        (300, 400, dict(component_rows=1, hot_floor=3)),  # hot-key joins
+        (200, 60, dict()),  # components only
     ],
 )
 def test_matches_sequential_rule(spark, scratch, n, spread, options):
@@ -48,7 +49,7 @@ def test_hot_key_and_chain(spark, scratch):
     rows += [(101, "a", None, "x"), (102, "b", "s", "x"), (103, "c", "s", "y")]
     rows += [(104, None, None, None), (105, None, None, None)]
     keyed = scratch.keep(table(spark, rows), "keyed")
-    kept = kept_ordinals(keyed, scratch, finish_below=0, hot_floor=5)
+    kept = kept_ordinals(keyed, scratch, component_rows=10, hot_floor=5)
     got = sorted(r[0] for r in kept.collect())
     assert got == sequential(rows)
     assert 103 in got and 102 not in got and {104, 105} <= set(got)
@@ -58,6 +59,46 @@ def test_hot_key_and_chain(spark, scratch):
     assert set(why) == {r[0] for r in rows} - set(got)
 
 
+def chain(length, order):
+    """Neighbours share a url or a content, one after the other."""
+    return sorted(
+        (order(i), f"u{i // 2}", None, f"c{(i + 1) // 2}") for i in range(length)
+    )
+
+
+@pytest.mark.parametrize("order", [lambda i: i, lambda i: 1000 - i, lambda i: i * 37 % 101])
+def test_long_chains(spark, scratch, order):
+    rows = chain(100, order)
+    got = sorted(r[0] for r in kept_ordinals(table(spark, rows), scratch).collect())
+    assert got == sequential(rows)
+
+
+def test_tables_do_not_follow_the_length_of_chains(spark, scratch):
+    def tables(length):
+        used = type(scratch)(spark)
+        kept_ordinals(table(spark, chain(length, lambda i: i)), used).count()
+        path = spark.sparkContext._jvm.java.io.File(used.root)
+        return len(path.list())
+
+    assert tables(200) == tables(10)
+
+
+def test_component_labels(spark, scratch):
+    r = random.Random(8)
+    pairs = [(n, f"k{r.randrange(260)}") for n in range(1, 301) for _ in range(r.randrange(1, 3))]
+    got = component_labels(spark.createDataFrame(pairs, "node long, key string"), scratch)
+    label = {n: n for n, _ in pairs}
+    while True:
+        low = {}
+        for n, k in pairs:
+            low[k] = min(low.get(k, n), label[n])
+        new = {n: min(low[k] for m, k in pairs if m == n) for n in label}
+        if new == label:
+            break
+        label = new
+    assert {x.node: x.label for x in got.collect()} == label
+
+
 def test_posting_cases(make_postings, scratch):
     posts = make_postings(
         dict(url="https://example.com/jobs/1"),
