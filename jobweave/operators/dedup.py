@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jobweave.functions.keys import dedup_signature, dedup_source_key
@@ -51,8 +51,8 @@ def kept_ordinals(
     """``ordinal`` of every row the sequential first-seen rule would keep.
 
     Rows whose keys nobody else has are kept at once.  The others fall into components;
-    a chain of n rows is labelled in about log n rounds and decided in one task, so no
-    number of jobs or tables follows the length of chains.  A round of joins decides
+    a chain of n rows is labelled in at most about log n rounds and decided in one task,
+    so no number of jobs or tables follows the length of chains.  A round of joins decides
     every row that is first on all its keys, and its rivals, which breaks up what hot
     keys hold together.
     """
@@ -63,14 +63,21 @@ def kept_ordinals(
     kept_parts: list[DataFrame] = []
     giant = False
     while True:
+        seen = Observation()
+        n = F.col("n")
         stats = counted.keep(
-            open_keys.groupBy("key").agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("n"))
+            open_keys.groupBy("key")
+            .agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("n"))
+            .observe(
+                seen, F.sum(n).alias("total"), F.max(n).alias("largest"),
+                F.sum(F.when(n > 1, n)).alias("shared"),
+            )
         )
-        total, largest = stats.agg(F.sum("n"), F.max("n")).first()
-        if not total:
+        size = seen.get
+        if not size["total"]:
             break
-        if giant or largest > component_rows:
-            kept, rest = _round(open_keys, stats, total, scratch, hot_floor)
+        if giant or size["largest"] > component_rows:
+            kept, rest = _round(open_keys, stats, size["total"], scratch, hot_floor)
             kept_parts.append(kept)
             open_keys, giant = opened.keep(rest), False
             continue
@@ -80,14 +87,22 @@ def kept_ordinals(
         lone = open_keys.select("ordinal").distinct().join(
             shared.select(F.col("node").alias("ordinal")), "ordinal", "left_anti"
         )
-        kept_parts.append(scratch.keep(lone, "dedup-kept"))
+        if not size["shared"]:
+            kept_parts.append(lone)
+            break
         labelled = shared.join(component_labels(shared, scratch), "node")
+        if size["shared"] <= component_rows:  # so no component is larger
+            kept_parts += [lone, scratch.keep(_sequential(labelled), "dedup-kept")]
+            break
         sizes = labelled.groupBy("label").agg(F.count_distinct("node").alias("rows"))
         large = scratch.keep(sizes.filter(F.col("rows") > component_rows).select("label"), "dedup-large")
         small = labelled.join(F.broadcast(large), "label", "left_anti")  # few: each has many rows
         kept_parts.append(scratch.keep(_sequential(small), "dedup-kept"))
         if large.isEmpty():
+            kept_parts.append(lone)
             break
+        # the open rows are replaced now, so what was read from them is written
+        kept_parts.append(scratch.keep(lone, "dedup-kept"))
         rest = labelled.join(F.broadcast(large), "label", "left_semi")
         open_keys = opened.keep(rest.select(F.col("node").alias("ordinal"), "key"))
         giant = True

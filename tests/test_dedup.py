@@ -83,10 +83,11 @@ def test_tables_do_not_follow_the_length_of_chains(spark, scratch):
     assert tables(200) == tables(10)
 
 
-def test_component_labels(spark, scratch):
+@pytest.mark.parametrize("chunk", [1, 7, 10_000])
+def test_component_labels(spark, scratch, chunk):
     r = random.Random(8)
     pairs = [(n, f"k{r.randrange(260)}") for n in range(1, 301) for _ in range(r.randrange(1, 3))]
-    got = component_labels(spark.createDataFrame(pairs, "node long, key string"), scratch)
+    got = component_labels(spark.createDataFrame(pairs, "node long, key string"), scratch, chunk_pairs=chunk)
     label = {n: n for n, _ in pairs}
     while True:
         low = {}
