@@ -110,6 +110,19 @@ SELECT d.doc_id AS ordinal,
 FROM documents d
 """
 
+# profiles whose skills are six of many common words, each wanted by many profiles
+WIDE_WORDS = (
+    "the", "of", "and", "in", "to", "is", "it", "was", "that", "for", "on", "are", "with", "as", "be", "at", "this",
+    "or", "de", "la", "le", "et", "un", "und", "der", "die", "que", "est", "el", "en",
+)
+WIDE_PROFILES = PROFILES.replace(
+    "CASE c_nationkey % 4 WHEN 0 THEN 'Ing;ai;ai' WHEN 1 THEN 'tion; ;ersh' WHEN 2 THEN 'enou;c++;que' ELSE '' END AS skills_text",
+    "concat(" + ", ';', ".join(
+        f"split_part('{';'.join(WIDE_WORDS)}', ';', CAST(1 + (c_custkey * {a} + {b}) % {len(WIDE_WORDS)} AS INT))"
+        for a, b in ((1, 0), (7, 3), (11, 8), (13, 1), (17, 5), (19, 2))
+    ) + ") AS skills_text",
+)
+
 # chains of up to 40 neighbours, numbered forwards, backwards or jumping, and one key
 # that holds many of them together
 CHAINS = """
@@ -156,6 +169,10 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(run_sql(spark, sf_dir, PROFILES), "target_roles", "skills")
 
 
+def wide_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lists(run_sql(spark, sf_dir, WIDE_PROFILES), "target_roles", "skills")
+
+
 def contract_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = run_sql(spark, sf_dir, CONTRACT_PROFILES)
     # a trailing blank skill is one of the defects, so keep blanks here

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from checks import fixtures as fx
+from jobweave.vocab import RankingWeights
 
 _WS = r"[\t\n\x0B\f\r \x{0085}\p{Z}]"
 _W = r"[\p{L}\p{N}_]"
@@ -234,9 +235,9 @@ SELECT profile_no, coalesce({or_null('student_id')}, left({stable_hash('name')},
 FROM profiles_raw"""
 
 
-def profile_ctes() -> list[tuple[str, str]]:
+def profile_ctes(statement: str = fx.PROFILES) -> list[tuple[str, str]]:
     return [
-        ("profiles_raw", _sql(fx.PROFILES)),
+        ("profiles_raw", _sql(statement)),
         ("people_all", PROFILES),
         ("people", "SELECT * FROM people_all WHERE ai_matching_consent"),
     ]
@@ -255,7 +256,7 @@ def boundary(t: str) -> str:
     return left + re.sub(r"([^\w\s])", r"\\\1", t) + right
 
 
-def hit_ctes(source: str, tag: str = "") -> list[tuple[str, str]]:
+def hit_ctes(source: str, tag: str = "", terms=FIXTURE_TERMS, w=RankingWeights()) -> list[tuple[str, str]]:
     return [
         (
             f"pterms{tag}",
@@ -269,7 +270,7 @@ def hit_ctes(source: str, tag: str = "") -> list[tuple[str, str]]:
             "SELECT * FROM ("
             + " UNION ALL ".join(
                 f"SELECT {q(t)} AS term, ordinal FROM {source} WHERE regexp_matches(rtext, {q(boundary(t))})"
-                for t in FIXTURE_TERMS
+                for t in terms
             )
             + f") WHERE term IN (SELECT term FROM vocab{tag})",
         ),
@@ -284,7 +285,7 @@ def hit_ctes(source: str, tag: str = "") -> list[tuple[str, str]]:
         (
             f"sparse{tag}",
             f"""SELECT t.profile_no, h.ordinal,
-                  sum(CASE t.kind WHEN 1 THEN 2.0 ELSE 3.0 END)::DOUBLE AS s,
+                  sum(CASE t.kind WHEN 1 THEN {w.skill} ELSE {w.role} END)::DOUBLE AS s,
                   string_agg(CASE t.kind WHEN 1 THEN 'Skill match: ' ELSE 'Target role match: ' END || t.term,
                              '; ' ORDER BY t.kind, t.pos) AS r
                 FROM pterms{tag} t JOIN khits{tag} h ON h.kind = t.kind AND h.term = t.term
@@ -293,20 +294,22 @@ def hit_ctes(source: str, tag: str = "") -> list[tuple[str, str]]:
     ]
 
 
-def rank_ctes(source: str = "classified", tag: str = "", people: str = "people") -> list[tuple[str, str]]:
+def rank_ctes(
+    source: str = "classified", tag: str = "", people: str = "people", terms=FIXTURE_TERMS, w=RankingWeights()
+) -> list[tuple[str, str]]:
     """Every profile against every posting, scored and fully sorted."""
     return [
-        *hit_ctes(source, tag),
+        *hit_ctes(source, tag, terms, w),
         (
             f"scored{tag}",
             f"""SELECT s.profile_no, s.student_key, s.name, s.profile_version, s.target_roles, p.ordinal,
                   p.title, p.company, p.location, p.source, p.url, p.posted_date, p.role_tags,
                   p.concentration_tags, p.opt_cpt_flag, p.seniority_label,
                   coalesce(h.s, 0.0)
-                  + CASE WHEN list_contains(p.concentration_tags, s.concentration) THEN 2.0 ELSE 0.0 END
-                  + CASE WHEN s.needs_opt AND p.opt_cpt_flag THEN 1.0 ELSE 0.0 END
-                  + CASE WHEN s.preferred_seniority = p.seniority_label THEN 1.0
-                         WHEN s.preferred_seniority IS NOT NULL THEN -1.0 ELSE 0.0 END AS score,
+                  + CASE WHEN list_contains(p.concentration_tags, s.concentration) THEN {w.concentration} ELSE 0.0 END
+                  + CASE WHEN s.needs_opt AND p.opt_cpt_flag THEN {w.opt_cpt} ELSE 0.0 END
+                  + CASE WHEN s.preferred_seniority = p.seniority_label THEN {w.seniority}
+                         WHEN s.preferred_seniority IS NOT NULL THEN {w.seniority_mismatch} ELSE 0.0 END AS score,
                   concat_ws('; ', h.r,
                     CASE WHEN list_contains(p.concentration_tags, s.concentration) THEN 'Concentration match: ' || s.concentration END,
                     CASE WHEN s.needs_opt AND p.opt_cpt_flag THEN 'CPT/OPT-friendly signal' END,
@@ -662,6 +665,16 @@ FROM f LEFT JOIN why USING (ordinal)"""
     out["q_topk"] = with_(
         full_rank(), "SELECT profile_no, rank_position, ordinal, score FROM ranked WHERE rank_position <= 5"
     )
+    wide = {
+        "q_topk_wide": RankingWeights(skill=1.5, role=2.0, concentration=4.0, opt_cpt=0.5),
+        "q_topk_negative": RankingWeights(skill=-1.0, role=3.0, concentration=-2.0),
+    }
+    for name, w in wide.items():
+        out[name] = with_(
+            [*unique_ctes(), *profile_ctes(fx.WIDE_PROFILES),
+             *rank_ctes(terms=tuple(dict.fromkeys((*FIXTURE_TERMS, *fx.WIDE_WORDS))), w=w)],
+            "SELECT profile_no, rank_position, ordinal, score, reasons FROM ranked WHERE rank_position <= 3",
+        )
     out["q_export_rows"] = with_(full_rank(), _EXPORT)
     out["q_export_order"] = with_(
         full_rank(),

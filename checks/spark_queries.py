@@ -35,6 +35,7 @@ from jobweave.schemas import POSTING_SCHEMA
 from jobweave.sources import aliased
 from jobweave.sources.registry import allowed_only, registry, source_decisions, union_sources
 from jobweave.streaming.ingest import ingest_stream
+from jobweave.vocab import RankingWeights
 
 Query = Callable[[SparkSession, str], DataFrame]
 SINCE = "2026-06-02"
@@ -71,6 +72,19 @@ def _top(spark: SparkSession, sf: str, k: int | None, only: str | None = None) -
     return p, people, rank_matches(p.unique, people, scratch, limit=k), scratch
 
 
+def _wide(spark, sf, weights: RankingWeights) -> DataFrame:
+    """Three best postings for profiles that want thirty words, all of which count as
+    frequent here: more than the classes take in."""
+    scratch = Scratch(spark)
+    p = prepare(fx.postings(spark, sf), fx.wide_profiles(spark, sf), scratch, taxonomy=fx.TAXONOMY,
+                seniority_terms=fx.SENIORITY)
+    people, _ = quality.consenting(p.people)
+    ranked = rank_matches(p.unique, people, scratch, limit=3, weights=weights, pair_budget=1000)
+    return ranked.select(
+        "profile_no", "rank_position", "ordinal", "score", _reasons()
+    )
+
+
 def _reasons() -> F.Column:
     return F.array_join("reasons", "; ").alias("reasons")
 
@@ -255,6 +269,15 @@ def q_topk(spark, sf):
     return ranked.select("profile_no", "rank_position", "ordinal", "score")
 
 
+def q_topk_wide(spark, sf):
+    return _wide(spark, sf, RankingWeights(skill=1.5, role=2.0, concentration=4.0, opt_cpt=0.5))
+
+
+def q_topk_negative(spark, sf):
+    """Skills and tags that speak against a posting; the limit stays a limit."""
+    return _wide(spark, sf, RankingWeights(skill=-1.0, role=3.0, concentration=-2.0))
+
+
 def q_export_rows(spark, sf):
     _, _, ranked, _ = _top(spark, sf, 5)
     # the JSON column is left out: engines space JSON differently
@@ -291,8 +314,12 @@ def q_trend_rollup(spark, sf):
 def q_skill_trend(spark, sf):
     scratch = Scratch(spark)
     people, _ = quality.consenting(quality.profile_features(fx.profiles(spark, sf)))
-    unique = deduplicate(_valid(spark, sf), scratch)
-    return trends.skill_trend(posting_features(unique, profile_vocabulary(people)))
+    # one pass over the texts; what is de-duplicated carries none
+    features = scratch.keep(
+        posting_features(with_dedup_keys(_valid(spark, sf)), profile_vocabulary(people), keep=KEYS), "features"
+    )
+    kept = kept_ordinals(features.select("ordinal", *KEYS), scratch)
+    return trends.skill_trend(features.join(kept, "ordinal", "left_semi"))
 
 
 def q_run_summary(spark, sf):
@@ -383,8 +410,12 @@ def q_identity_resolve(spark, sf):
     early = valid.filter(F.col("posted_date") < F.lit(RUN1_BEFORE))
 
     def unique(rows: DataFrame) -> DataFrame:
-        kept = deduplicate(rows, scratch)
-        return scratch.keep(kept.select("ordinal", identities().alias("identities")), "ids")
+        narrow = scratch.keep(
+            with_dedup_keys(rows).select("ordinal", *KEYS, identities().alias("identities")), "ids"
+        )
+        kept = kept_ordinals(narrow.select("ordinal", *KEYS), scratch)
+        unique = narrow.join(kept, "ordinal", "left_semi").select("ordinal", "identities")
+        return scratch.keep(unique, "unique-ids")
 
     first = unique(early)
     stored = (

@@ -13,6 +13,11 @@ profile are found without pairing every profile with every posting:
   cannot be reached (the MaxScore argument of Turtle and Flood, 1995).
 
 Both steps only drop pairs that provably have ``limit`` better ones.
+
+Terms or tags of negative weight only lower a score.  Then a posting can be worse than
+its class looks, by an infrequent term of negative weight; a profile meets at most as
+many such postings as its terms of that kind have, so that many representatives more
+are enough, and every class of postings is compared with every class of profiles.
 """
 
 from __future__ import annotations
@@ -273,33 +278,18 @@ def _candidates(
     ]
     vocab = F.array(*[F.lit(t) for t in frequent]).cast("array<string>")
 
-    # postings: representatives per class
+    rare_counts = counts.filter(~F.col("term").isin(frequent)) if frequent else counts
+    total = people.agg(F.sum(F.size("terms"))).first()[0] or 0
+    rare = lookup_join(
+        person_terms, rare_counts.select("term", "postings"), "term",
+        counts=rare_counts.select("term", "n"), total_rows=total,
+    )
+    weight = _weight_of(F.col("term"), w)
+
     posts = posts.withColumn(
         "frequent", F.array_sort(F.array_intersect("terms", vocab))
     ).withColumn("opt", F.coalesce("opt_cpt_flag", F.lit(False)))
     plain = posts.drop("terms")
-    by_tag = _first(
-        plain.withColumn(
-            "feature",
-            F.explode(
-                F.concat(
-                    F.array(F.lit("")),
-                    F.transform("concentration_tags", lambda t: F.concat(F.lit("c:"), t)),
-                )
-            ),
-        ),
-        ["feature", "opt", "seniority_label"],
-        [F.col("tie")],
-        k,
-    )
-    by_term = _first(
-        plain.filter(F.size("frequent") > 0),
-        ["frequent", "concentration_tags", "opt", "seniority_label"],
-        [F.col("tie")],
-        k,
-    ).withColumn("feature", F.explode("frequent"))
-    # a posting of the first kind meets every profile already when all are kept
-    stand_ins = by_tag if k is None else by_tag.unionByName(by_term)
 
     # profiles: one class per look
     classed = people.withColumn(
@@ -318,27 +308,22 @@ def _candidates(
     classes = classed.select(
         "class", "wanted", "concentration", "needs_opt", "preferred_seniority"
     ).distinct()
-    class_features = classes.withColumn(
-        "feature",
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    F.array(F.lit(""), F.concat(F.lit("c:"), F.col("concentration"))),
-                    F.col("wanted"),
-                )
-            )
-        ),
-    )
     shown = F.filter("wanted", lambda t: F.array_contains(F.col("frequent"), t))
     class_score = _sum(F.transform(shown, lambda t: _weight_of(t, w))) + _dense_score(w)
-    class_best = _first(
-        class_features.join(stand_ins, "feature")
-        .select("class", "ordinal", "tie", class_score.alias("class_score"))
-        .distinct(),
-        ["class"],
-        [F.col("class_score").desc(), F.col("tie")],
-        k,
-    ).select("class", "ordinal", "class_score")
+    lowered = k is not None and min(w.skill, w.role, w.concentration) < 0
+    if lowered:
+        # postings a profile may meet through infrequent terms of negative weight
+        hits = rare.filter(weight < 0).groupBy("profile_no").agg(F.sum("postings").alias("hits"))
+        depths = scratch.keep(
+            classed.select("class", "profile_no").join(hits, "profile_no", "left").groupBy("class").agg(
+                (F.lit(k) + F.coalesce(F.max("hits"), F.lit(0))).alias("depth")
+            ),
+            "class-depths",
+        )
+        class_best = _class_best_lowered(classes.join(depths, "class"), plain, class_score, scratch)
+    else:
+        depths = None
+        class_best = _class_best(classes, plain, class_score, k)
     class_best = scratch.keep(class_best, "class-best")
     by_class = classed.select("profile_no", "class").join(class_best, "class").select(
         "profile_no", "ordinal"
@@ -347,37 +332,38 @@ def _candidates(
         return by_class
 
     # pairs through infrequent terms, only where they can still matter
+    if depths is None:
+        depths = classes.select("class", F.lit(k).alias("depth"))
     floors = class_best.groupBy("class").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("class_score")).alias("floor")
+        F.count(F.lit(1)).alias("found"), F.min("class_score").alias("least")
+    ).join(depths, "class").select(
+        "class", F.when(F.col("found") >= F.col("depth"), F.col("least")).alias("floor")
     )
     dense_best = (
         max(w.concentration, 0.0)
         + F.when(F.col("needs_opt"), F.lit(max(w.opt_cpt, 0.0))).otherwise(F.lit(0.0))
         + max(w.seniority, w.seniority_mismatch, 0.0)
     )
+    none_less = F.lit(0.0)
     bounds = classed.select(
         "profile_no",
         "class",
         (
-            dense_best + _sum(F.transform("wanted", lambda t: _weight_of(t, w)))
+            dense_best
+            + _sum(F.transform("wanted", lambda t: F.greatest(_weight_of(t, w), none_less)))
         ).alias("reach"),
     ).join(floors, "class").select("profile_no", "reach", "floor")
-    rare_counts = counts.filter(~F.col("term").isin(frequent)) if frequent else counts
-    total = people.agg(F.sum(F.size("terms"))).first()[0] or 0
-    rare = lookup_join(
-        person_terms, rare_counts.select("term", "postings"), "term",
-        counts=rare_counts.select("term", "n"), total_rows=total,
-    )
     # most frequent terms first: as long as all of them together with the best
     # class score stay below the floor, a posting found only by them is out
-    weight = _weight_of(F.col("term"), w) * F.col("times")
-    reached = F.sum(weight).over(
+    gain = F.greatest(weight, none_less) * F.col("times")
+    reached = F.sum(gain).over(
         W.partitionBy("profile_no")
         .orderBy(F.col("postings").desc(), "term")
         .rowsBetween(W.unboundedPreceding, 0)
     )
     drivers = (
         rare.withColumn("reached", reached)
+        .filter(weight > 0)
         .join(bounds, "profile_no")
         .filter(F.col("floor").isNull() | (F.col("reach") + F.col("reached") >= F.col("floor")))
         .select("profile_no", "term")
@@ -387,6 +373,82 @@ def _candidates(
     return by_class.unionByName(by_rare).distinct()
 
 
+_LOOK = ("frequent", "concentration_tags", "opt", "seniority_label")
+
+
+def _class_best(classes: DataFrame, posts: DataFrame, class_score: Column, k: int | None) -> DataFrame:
+    """The best ``k`` of (class, ordinal, class_score) where nothing lowers a score:
+    classes meet postings through a shared tag or frequent term, or through nothing."""
+    by_tag = _first(
+        posts.withColumn(
+            "feature",
+            F.explode(
+                F.concat(
+                    F.array(F.lit("")),
+                    F.transform("concentration_tags", lambda t: F.concat(F.lit("c:"), t)),
+                )
+            ),
+        ),
+        ["feature", "opt", "seniority_label"],
+        [F.col("tie")],
+        k,
+    )
+    by_term = _first(posts.filter(F.size("frequent") > 0), _LOOK, [F.col("tie")], k).withColumn(
+        "feature", F.explode("frequent")
+    )
+    # a posting of the first kind meets every profile already when all are kept
+    stand_ins = by_tag if k is None else by_tag.unionByName(by_term)
+    class_features = classes.withColumn(
+        "feature",
+        F.explode(
+            F.array_distinct(
+                F.concat(
+                    F.array(F.lit(""), F.concat(F.lit("c:"), F.col("concentration"))),
+                    F.col("wanted"),
+                )
+            )
+        ),
+    )
+    return _first(
+        class_features.join(stand_ins, "feature")
+        .select("class", "ordinal", "tie", class_score.alias("class_score"))
+        .distinct(),
+        ["class"],
+        [F.col("class_score").desc(), F.col("tie")],
+        k,
+    ).select("class", "ordinal", "class_score")
+
+
+def _class_best_lowered(
+    classes: DataFrame, posts: DataFrame, class_score: Column, scratch: Scratch
+) -> DataFrame:
+    """The best ``depth`` of each class under any weights.
+
+    Classes of profiles are scored against classes of postings; of the latter only
+    those are opened that fewer than ``depth`` postings precede by score alone.
+    """
+    most = classes.agg(F.max("depth")).first()[0]
+    if most is None:
+        return classes.select("class", F.lit(0).cast("long").alias("ordinal"), F.lit(0.0).alias("class_score"))
+    looks = scratch.keep(
+        posts.groupBy(*_LOOK).agg(F.count(F.lit(1)).alias("size"), F.min("tie").alias("look")), "looks"
+    )
+    nth = F.row_number().over(W.partitionBy(*_LOOK).orderBy("tie"))
+    first = F.min("tie").over(W.partitionBy(*_LOOK))
+    members = posts.withColumn("nth", nth).withColumn("look", first).filter(F.col("nth") <= most)
+    shown = looks.withColumns({"_all": F.lit(""), "opt_cpt_flag": F.col("opt")})
+    met = classes.withColumn("_all", F.lit("")).join(shown, "_all")
+    scored = met.select("class", "depth", "look", "size", class_score.alias("class_score"))
+    whole = W.partitionBy("class").orderBy(F.col("class_score").desc())  # ties count together
+    before = F.sum("size").over(whole) - F.sum("size").over(W.partitionBy("class", "class_score"))
+    opened = scored.withColumn("before", before).filter(F.col("before") < F.col("depth"))
+    found = opened.join(members.select("look", "nth", "ordinal", "tie"), "look").filter(F.col("nth") <= F.col("depth"))
+    place = F.row_number().over(W.partitionBy("class").orderBy(F.col("class_score").desc(), "tie"))
+    return found.withColumn("place", place).filter(F.col("place") <= F.col("depth")).select(
+        "class", "ordinal", "class_score"
+    )
+
+
 def rank_matches(
     postings: DataFrame,
     profiles: DataFrame,
@@ -409,8 +471,6 @@ def rank_matches(
     w = weights or RankingWeights()
     if limit is not None and limit < 1:
         raise ValueError("limit must be a positive integer")
-    # pruning needs additive evidence; otherwise every pair is scored
-    k = limit if min(w.skill, w.role, w.concentration) >= 0 else None
     postings = postings.select(*POSTING_COLUMNS)
     ties = with_tie(postings, scratch)
     signals = scratch.keep(
@@ -418,7 +478,7 @@ def rank_matches(
     )
     people = scratch.keep(profiles.select(*PROFILE_COLUMNS), "rank-profiles")
     pairs = scratch.keep(
-        _candidates(signals, people, k, w, scratch, pair_budget, max_frequent), "rank-pairs"
+        _candidates(signals, people, limit, w, scratch, pair_budget, max_frequent), "rank-pairs"
     )
     # a popular posting is a candidate for very many profiles
     scored = with_score(

@@ -64,13 +64,17 @@ def test_pruned_equals_full(make_postings, make_profiles, scratch, pair_budget,
     assert ranked_rows(got) == [r for r in full if r[1] <= 4]
 
 
-def test_negative_weight_falls_back_to_all_pairs(make_postings, make_profiles, scratch):
-    postings, profiles = world(make_postings, make_profiles, seed=5, posts=20, people=5)
+@pytest.mark.parametrize("pair_budget", [10**9, 0, 60])
+@pytest.mark.parametrize(
+    "weights", [dict(skill=-2.0), dict(role=-1.0, skill=1.5), dict(concentration=-3.0, skill=-0.5, role=-1.0)]
+)
+def test_limit_is_kept_under_negative_weights(make_postings, make_profiles, scratch, pair_budget, weights):
+    postings, profiles = world(make_postings, make_profiles, seed=5 + pair_budget % 97, posts=50, people=15)
     people = profile_features(profiles)
     features = scratch.keep(posting_features(postings, profile_vocabulary(people)), "f")
-    w = RankingWeights(skill=-2.0)
+    w = RankingWeights(**weights)
     full = ranked_rows(rank_matches(features, people, scratch, limit=None, weights=w))
-    got = ranked_rows(rank_matches(features, people, scratch, limit=2, weights=w))
+    got = ranked_rows(rank_matches(features, people, scratch, limit=2, weights=w, pair_budget=pair_budget))
     assert got == [r for r in full if r[1] <= 2]
 
 
