@@ -18,6 +18,7 @@ from __future__ import annotations
 import codecs
 import json
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -216,6 +217,17 @@ class Decoder:
         return "".join(self.pieces(ids))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; tasks that follow each other share what it remembers."""
+    return Encoder(path)
+
+
+@lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def _slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, rows):
@@ -231,7 +243,7 @@ def encode(docs: DataFrame, tokenizer: str, *, keys: tuple[str, ...] = ("doc_id"
     """
 
     def run(batches):
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in _slices(batches):
             ids = [enc.encode(t or "") for t in b.column(b.num_columns - 1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
@@ -248,7 +260,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """All columns and ``text``, read back from ``ids`` (null ids: empty text)."""
 
     def run(batches):
-        dec = Decoder(tokenizer)
+        dec = decoder(tokenizer)
         for b in _slices(batches):
             ids = b.column(b.schema.get_field_index("ids"))
             texts = [
