@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -37,6 +39,7 @@ from jobweave.operators.scratch import Scratch
 FRAME_IDS = 1 << 18
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CACHE_ENTRIES = 1_000_000
+SLICE_BYTES = 2 << 20  # of texts that are split and looked up together
 MANIFEST = "file_no int, path string, n_docs long, n_ids long, first_id long, last_id long"
 
 
@@ -146,7 +149,10 @@ class WordEncoder:
 
     def __init__(self, tokenizer: str, end_id: int) -> None:
         import json
+        import os
 
+        # one core a task; must be set before the library's first batch
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(tokenizer, encoding="utf-8") as f:
@@ -163,26 +169,20 @@ class WordEncoder:
         self.tok.no_padding()
         # ids as bytes: a document is one join, and an entry takes little memory
         self.known: dict[bytes, bytes] = {}
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.end_id = np.uint32(end_id)
+        self.end = self.end_id.tobytes()
 
     def _library(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 4096):
             for e in self.tok.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+                yield array("I", e.ids).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word or self.added:
-            return [np.frombuffer(ids + self.end, "<u4") for ids in self._library(texts)]
-        split = []
-        for t in texts:
-            data = t.encode()
-            # a mark of an added token must keep its case
-            split.append((data.lower() if self.fold and b"<|" not in data else data).split())
+    def _remember(self, words: list[bytes]) -> None:
         known = self.known
         if len(known) > CACHE_ENTRIES:
             for w in [*islice(known, CACHE_ENTRIES // 2)]:
                 del known[w]
-        new = {w for words in split for w in words}.difference(known)
+        new = [w for w in words if w not in known]
         # a word and one mark behind it are split by the pre-tokenizer
         marked = {w for w in new if w[-1:] in (b".", b",") and len(w) > 1 and w[-2:-1].isalpha()}
         ask = {w[:-1] if w in marked else w for w in new} | ({b".", b","} if marked else set())
@@ -190,8 +190,31 @@ class WordEncoder:
         known.update(zip(ask, self._library([w.decode() for w in ask])))
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1:]]
-        ids = known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, words)) + self.end, "<u4") for words in split]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text and the end id.  Each distinct word of the batch is
+        looked up once; the ids of all places are then gathered as one array."""
+        if not self.by_word or self.added:
+            yield from (np.frombuffer(ids + self.end, "<u4") for ids in self._library(texts.to_pylist()))
+            return
+        if self.fold:
+            # a mark of an added token must keep its case
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self._remember(words)
+        found = [self.known[w] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        at = np.cumsum(size) - size
+        place = coded.indices.to_numpy()
+        count = size[place]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(at[place] - ends[:-1], count) + np.arange(ends[-1])]
+        borders = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for a, b in zip(borders[:-1], borders[1:]):
+            yield np.append(ids[a:b], self.end_id)
 
 
 @lru_cache(maxsize=1)
@@ -200,6 +223,16 @@ def encoder(tokenizer: str, end_id: int) -> WordEncoder:
     return WordEncoder(tokenizer, end_id)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts (column 1) have SLICE_BYTES together, or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at, before = to, int(ends[to - 1])
+
+
 def write(docs: DataFrame, tokenizer: str, root: str, scratch: Scratch, *, end_id: int = 1) -> DataFrame:
     """Write all texts in ascending doc_id order below ``root``; returns the manifest
     (file_no, path, n_docs, n_ids, first_id, last_id, base), one row per file, where
@@ -222,8 +255,7 @@ def write(docs: DataFrame, tokenizer: str, root: str, scratch: Scratch, *, end_i
         path = f"{folder}/tokens-{number:06d}.zst"
         part = f"{path}.{uuid.uuid4().hex}"
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                s = b.slice(at, 256)
+            for s in slices(b):
                 if out is None:
                     fs.create_dir(folder, recursive=True)
                     out = fs.open_output_stream(part, compression=None)
@@ -232,7 +264,7 @@ def write(docs: DataFrame, tokenizer: str, root: str, scratch: Scratch, *, end_i
                 known = [i for i in ids if i is not None]
                 first = known[0] if known and first is None else first
                 last = known[-1] if known else last
-                for i, x in zip(ids, enc.encode(s.column(1).to_pylist())):
+                for i, x in zip(ids, enc.encode(s.column(1))):
                     writer.add(i, x)
         if out is None:
             return
