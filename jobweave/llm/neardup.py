@@ -13,9 +13,9 @@ from jobweave.llm.common import components
 from jobweave.operators.scratch import Scratch
 
 BANDS, ROWS = 40, 5  # a pair at similarity 0.8 misses all bands once in 8 million
-CENTRES = 4  # of a bucket in each later round
-SMALL = 32  # members of a bucket whose pairs are rows; those of larger ones stay in tasks
-BLOCK = 512  # members on one side of a task of pairs
+CENTRES = 4  # of a bucket, and of a member over all its buckets, in a later round
+ROUNDS = 2  # of new centres, before all pairs that are left are tested
+BLOCK, BLOCK_ITEMS = 512, 1 << 20  # members and shingles on one side of a task of pairs
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -124,20 +124,26 @@ def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, items array<long>")
 
 
-def _incidence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sets), len(vocabulary)), np.float32)
-    for r, x in enumerate(sets):
-        out[r, np.searchsorted(vocabulary, x[np.isin(x, vocabulary, assume_unique=True)])] = 1
-    return out
-
-
 def common_counts(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of all intersections of sorted sets, exact."""
+    """Sizes of all intersections of sets, exact: one sort of all items, then products
+    of incidence matrices, ``width`` items that both sides have at a time."""
     out = np.zeros((len(a), len(b)), np.int64)
-    both = np.intersect1d(np.concatenate(a), np.concatenate(b)) if a and b else np.zeros(0, np.int64)
-    for at in range(0, len(both), width):
-        part = both[at : at + width]
-        out += (_incidence(a, part) @ _incidence(b, part).T).astype(np.int64)
+    if not a or not b:
+        return out
+    sets = [*a, *b]
+    items = np.concatenate(sets)
+    order = np.argsort(items, kind="stable")
+    items, row = items[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+    code = np.cumsum(np.concatenate([[0], items[1:] != items[:-1]]))[: len(items)]
+    left = row < len(a)
+    both = (np.bincount(code, left) > 0) & (np.bincount(code, ~left) > 0)
+    of_both = both[code]
+    code, row = (np.cumsum(both) - 1)[code[of_both]], row[of_both]
+    for at in range(0, int(both.sum()), width):
+        lo, hi = np.searchsorted(code, [at, at + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[lo:hi], code[lo:hi] - at] = 1
+        out += (part[: len(a)] @ part[len(a) :].T).astype(np.int64)
     return out
 
 
@@ -147,15 +153,21 @@ def block_links(open_: DataFrame, sets: DataFrame, *, percent: int, block: int =
     ``open_`` has (bucket, m, part).  The component with most members of a bucket is
     not compared with itself: its blocks meet the blocks of the others, and those meet
     each other.  Each pair of blocks is a task that returns one link a member and
-    component at most, never its pairs.
+    component at most, never its pairs.  Members are dealt by hash to as many blocks
+    as keep ``block`` members and BLOCK_ITEMS shingles each, in the mean.
     """
-    sizes = open_.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.groupBy("bucket").agg(
-        F.max(F.struct("c", "part")).alias("most"), F.sum("c").alias("all")
+
+    def blocks(members: Column, items: Column) -> Column:
+        return F.ceil(F.greatest(members / block, items / BLOCK_ITEMS)).cast("int")
+
+    sizes = open_.groupBy("bucket", "part").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("m.n").alias("i")
+    ).groupBy("bucket").agg(
+        F.max(F.struct("c", "part", "i")).alias("most"), F.sum("c").alias("all"), F.sum("i").alias("items")
     ).select(
         "bucket", F.col("most.part").alias("home"),
-        F.ceil(F.col("most.c") / block).cast("int").alias("nh"),
-        F.ceil((F.col("all") - F.col("most.c")) / block).cast("int").alias("nr"),
+        blocks(F.col("most.c"), F.col("most.i")).alias("nh"),
+        blocks(F.col("all") - F.col("most.c"), F.col("items") - F.col("most.i")).alias("nr"),
     )
     at_home = F.col("part") == F.col("home")
     own = F.pmod(F.xxhash64("m.node"), F.when(at_home, F.col("nh")).otherwise(F.col("nr"))).cast("int")
@@ -207,11 +219,12 @@ def near_duplicates(
     3. Candidates are confirmed on the whole sets.
     4. A star can miss a link between two members neither of which is the centre.  So
        buckets whose members lie in several components get CENTRES new centres, drawn
-       by hashes, and edges to them across components, until a round that draws anew
-       for every bucket confirms nothing.
-    5. Of buckets that still span components all pairs across components are tested:
-       as rows in buckets of at most SMALL members, else in tasks of pairs of blocks.
-       So every pair that shares a bucket is tested or lies in one component.
+       by hashes, in ROUNDS rounds; a member gets edges to at most CENTRES of all those
+       it meets in other components, so a round has as many edges as nodes, times that.
+    5. Of buckets that still span components all pairs across components are tested
+       in tasks of pairs of blocks; buckets of the same members are one bucket, and a
+       bucket of two is done by its star.  So every pair that shares a bucket is
+       tested or lies in one component.
 
     Rows without words have set size 0, link with nothing and are kept.  Rows with a
     null doc_id also link with nothing: component null, kept.  Rows that share a
@@ -256,8 +269,8 @@ def near_duplicates(
             .select("a", "b").distinct()
         )
 
-    def paired(open_: DataFrame) -> DataFrame:
-        """Members and centres in other components whose sizes allow a link."""
+    def paired(open_: DataFrame, turn: int) -> DataFrame:
+        """Members and CENTRES centres in other components whose sizes allow a link."""
         other = F.filter(
             "centres", lambda c: (c["part"] != F.col("part")) & near(c["m"], F.col("m"))
         )
@@ -266,7 +279,11 @@ def near_duplicates(
         met = met.groupBy("m").agg(
             F.array_distinct(F.flatten(F.collect_list("centres"))).alias("centres")
         )
-        again = met.select("m", F.explode("centres").alias("centre")).select("m", F.col("centre.m").alias("c"))
+        drawn = F.array_sort(F.transform("centres", lambda c: F.struct(
+            F.xxhash64(F.lit(turn), "m.node", c["m"]["node"]).alias("draw"), c["m"].alias("m")
+        )))
+        again = met.select("m", F.explode(F.slice(drawn, 1, CENTRES)).alias("centre"))
+        again = again.select("m", F.col("centre.m").alias("c"))
         return again.select(
             F.least("c.node", "m.node").alias("a"), F.greatest("c.node", "m.node").alias("b")
         ).distinct()
@@ -282,11 +299,14 @@ def near_duplicates(
         "candidates",
     )
     found = scratch.keep(confirmed(tested), "links")
-    links, turn = links.unionByName(found), 0
+    label = components(links.unionByName(found), scratch)
+    # a bucket of two is done: its star is its only pair
     left = members.select("bucket", "m", F.col("m.node").alias("node"))
-    while True:
-        label = components(links, scratch)
-        turn += 1
+    sized = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 2")
+    left = left.join(sized.select("bucket"), "bucket", "left_semi")
+
+    def opened(turn: int) -> DataFrame:
+        """The buckets that span components, with the centres of the round."""
         marked = left.join(label, "node", "left")
         marked = marked.select("bucket", "m", "node", F.coalesce("component", "node").alias("part"))
         who = F.struct("m", "part")
@@ -298,26 +318,26 @@ def near_duplicates(
             F.array_distinct(F.array(*[
                 F.min_by(who, F.xxhash64(F.lit(CENTRES * turn + i), *seed)) for i in range(CENTRES)
             ])).alias("centres"),
-        ).filter("lo <> hi").select("bucket", "centres")
+            # two sums of hashes and the number tell the members
+            F.struct(
+                F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(20,0)")) for i in (1, 2)]
+            ).alias("who"),
+        ).filter("lo <> hi")
+        several = several.groupBy("who").agg(F.min_by(F.struct("bucket", "centres"), "bucket").alias("b"))
         # a bucket inside one component is done: components only grow
-        open_ = scratch.keep(marked.join(several, "bucket"), "open-buckets")
+        return scratch.keep(marked.join(several.select("b.*"), "bucket"), "open-buckets")
+
+    for turn in range(1, ROUNDS + 1):
+        open_ = opened(turn)
         left = open_.select("bucket", "m", "node")
-        pairs = scratch.keep(paired(open_).join(tested, ["a", "b"], "left_anti"), "candidates")
+        pairs = scratch.keep(paired(open_, turn).join(tested, ["a", "b"], "left_anti"), "candidates")
         found = scratch.keep(confirmed(pairs), "links")
-        if turn > 1 and found.isEmpty():
-            break
         # the labels stand for all earlier links
         links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+        label = components(links, scratch)
         tested = tested.unionByName(pairs)
-    # the labels are those of the last round's buckets: all pairs across components
-    counts = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    sized = scratch.keep(open_.select("bucket", "m", "part").join(counts, "bucket"), "sized-buckets")
-    few = sized.filter(F.col("size") <= SMALL)
-    whole = few.groupBy("bucket").agg(F.collect_list(F.struct("m", "part")).alias("centres"))
-    pairs = paired(few.join(whole, "bucket")).join(tested.unionByName(pairs), ["a", "b"], "left_anti")
-    found = confirmed(scratch.keep(pairs, "candidates"))
-    many = sized.filter(F.col("size") > SMALL).select("bucket", "m", "part")
-    found = scratch.keep(found.unionByName(block_links(many, sets, percent=percent)), "links")
+    open_ = opened(ROUNDS + 1).select("bucket", "m", "part")
+    found = scratch.keep(block_links(open_, sets, percent=percent), "links")
     if not found.isEmpty():
         links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
         label = components(links, scratch)
