@@ -665,6 +665,14 @@ FROM f LEFT JOIN why USING (ordinal)"""
     out["q_topk"] = with_(
         full_rank(), "SELECT profile_no, rank_position, ordinal, score FROM ranked WHERE rank_position <= 5"
     )
+    out["q_topk_authorized"] = with_(
+        [*full_rank(),
+         ("allowed", """SELECT profile_no, ordinal, score, reasons,
+             row_number() OVER (PARTITION BY profile_no ORDER BY rank_position) AS rank_position
+             FROM ranked WHERE coalesce(opt_cpt_flag, TRUE)
+               OR profile_no NOT IN (SELECT profile_no FROM people WHERE needs_opt)""")],
+        "SELECT profile_no, rank_position, ordinal, score, reasons FROM allowed WHERE rank_position <= 5",
+    )
     wide = {
         "q_topk_wide": RankingWeights(skill=1.5, role=2.0, concentration=4.0, opt_cpt=0.5),
         "q_topk_negative": RankingWeights(skill=-1.0, role=3.0, concentration=-2.0),

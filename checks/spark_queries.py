@@ -23,6 +23,7 @@ from jobweave.operators.dedup import (
 )
 from jobweave.operators.evaluate import label_accuracy, relevance_at_k
 from jobweave.operators.rank import (
+    authorized_matches,
     export_position,
     posting_features,
     profile_vocabulary,
@@ -269,6 +270,15 @@ def q_topk(spark, sf):
     return ranked.select("profile_no", "rank_position", "ordinal", "score")
 
 
+def q_topk_authorized(spark, sf):
+    """Profiles that need sponsorship get no posting that refuses it."""
+    scratch = Scratch(spark)
+    p = _prepared(spark, sf, scratch)
+    people, _ = quality.consenting(p.people)
+    ranked = authorized_matches(p.unique, people, scratch, limit=5)
+    return ranked.select("profile_no", "rank_position", "ordinal", "score", _reasons())
+
+
 def q_topk_wide(spark, sf):
     return _wide(spark, sf, RankingWeights(skill=1.5, role=2.0, concentration=4.0, opt_cpt=0.5))
 

@@ -498,6 +498,30 @@ def rank_matches(
     return with_reasons(full, w)
 
 
+def authorized_matches(
+    postings: DataFrame,
+    profiles: DataFrame,
+    scratch: Scratch,
+    *,
+    limit: int | None,
+    weights: RankingWeights | None = None,
+) -> DataFrame:
+    """:func:`rank_matches` with work authorisation as a hard filter.
+
+    A profile that needs sponsorship gets no posting that refuses it; postings that
+    say nothing about it stay.  Such profiles are ranked over the postings left to
+    them and the others over all, so the veto comes before the limit and every bound
+    of the ranking holds as it is; ``rank_position`` counts what is left.
+    """
+    sponsored = F.coalesce("needs_opt", F.lit(False))
+    willing = postings.filter(F.coalesce("opt_cpt_flag", F.lit(True)))
+    return rank_matches(
+        willing, profiles.filter(sponsored), scratch, limit=limit, weights=weights
+    ).unionByName(
+        rank_matches(postings, profiles.filter(~sponsored), scratch, limit=limit, weights=weights)
+    )
+
+
 def _spread_lookup(rows: DataFrame, postings: DataFrame) -> DataFrame:
     counts = rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
     return lookup_join(rows, postings, "ordinal", counts=counts, total_rows=rows.count())

@@ -5,7 +5,9 @@ import pytest
 
 from jobweave.operators.classify import classify
 from jobweave.operators.quality import consenting, profile_features
-from jobweave.operators.rank import posting_features, profile_vocabulary, rank_matches
+from jobweave.operators.rank import (
+    authorized_matches, posting_features, profile_vocabulary, rank_matches,
+)
 from jobweave.vocab import CONCENTRATIONS, RankingWeights
 
 WORDS = ["sql", "python", "tableau", "siem", "nist", "agile", "power bi", "c++", "excel", "grc"]
@@ -78,6 +80,29 @@ def test_limit_is_kept_under_negative_weights(make_postings, make_profiles, scra
     assert got == [r for r in full if r[1] <= 2]
 
 
+@pytest.mark.parametrize("weights", [None, dict(skill=-2.0, opt_cpt=-1.0)])
+def test_work_authorisation_comes_before_the_limit(make_postings, make_profiles, scratch, weights):
+    postings, profiles = world(make_postings, make_profiles, seed=31, posts=40, people=16)
+    people = profile_features(profiles)
+    features = scratch.keep(posting_features(postings, profile_vocabulary(people)), "f")
+    w = weights and RankingWeights(**weights)
+    flags = {r["ordinal"]: r["opt_cpt_flag"] for r in features.collect()}
+    needs = {r["profile_no"]: r["needs_opt"] for r in people.collect()}
+    assert set(needs.values()) == {True, False} and False in flags.values()
+    want, vetoed, at = [], 0, {}
+    for r in ranked_rows(rank_matches(features, people, scratch, limit=None, weights=w)):
+        if needs[r[0]] and flags[r[2]] is False:
+            vetoed += r[1] <= 3
+            continue
+        at[r[0]] = at.get(r[0], 0) + 1
+        if at[r[0]] <= 3:
+            want.append((r[0], at[r[0]], *r[2:]))
+    assert vetoed
+    assert ranked_rows(authorized_matches(features, people, scratch, limit=3, weights=w)) == want
+    one = authorized_matches(features, people.filter("needs_opt"), scratch, limit=3, weights=w)
+    assert ranked_rows(one) == [r for r in want if needs[r[0]]]
+
+
 def test_term_join_equals_inline(make_postings, make_profiles, scratch):
     postings, profiles = world(make_postings, make_profiles, seed=8, posts=20, people=8)
     vocab = profile_vocabulary(profile_features(profiles))
