@@ -1,3 +1,4 @@
+import glob
 import random
 from datetime import date
 
@@ -103,6 +104,40 @@ def test_work_authorisation_comes_before_the_limit(make_postings, make_profiles,
     assert ranked_rows(one) == [r for r in want if needs[r[0]]]
 
 
+@pytest.mark.parametrize("weights", [None, dict(skill=-1.0, role=3.0, concentration=-2.0), dict(skill=0.1, role=0.7)])
+def test_blocks_and_parts_change_nothing(make_postings, make_profiles, scratch, weights):
+    postings, profiles = world(make_postings, make_profiles, seed=77, posts=70, people=20)
+    people = profile_features(profiles)
+    features = scratch.keep(posting_features(postings, profile_vocabulary(people)), "f")
+    w = weights and RankingWeights(**weights)
+    full = ranked_rows(rank_matches(features, people, scratch, limit=None, weights=w))
+    got = rank_matches(features, people, scratch, limit=3, weights=w, first_block=5, block=16, look_part=4)
+    assert ranked_rows(got) == [r for r in full if r[1] <= 3]
+
+
+@pytest.mark.parametrize("weights", [dict(skill=1.5), dict(skill=-1.0, role=3.0, concentration=-2.0)])
+def test_common_words_of_many_profiles_make_few_pairs(spark, make_postings, make_profiles, scratch, weights):
+    posts = make_postings(*[dict(description=f"the of and {WORDS[i % 10]} {i}", company=f"C{i}") for i in range(120)])
+    profiles = make_profiles(*[dict(skills=["the", "of", WORDS[i % 4]], target_roles=["and"]) for i in range(80)])
+    people = profile_features(profiles)
+    features = scratch.keep(posting_features(posts, profile_vocabulary(people)), "f")
+    got = rank_matches(features, people, scratch, limit=2, weights=RankingWeights(**weights), pair_budget=0)
+    assert got.count() == 160
+    pairs = glob.glob(f"{scratch.root}/*-rank-pairs")
+    assert spark.read.parquet(*pairs).count() <= 4 * 2  # four looks, one block
+
+
+def test_rows_of_a_repeated_profile_share_its_limit(make_postings, make_profiles, scratch):
+    postings, profiles = world(make_postings, make_profiles, seed=3, posts=30, people=4)
+    people = profile_features(profiles)
+    features = scratch.keep(posting_features(postings, profile_vocabulary(people)), "f")
+    once = ranked_rows(rank_matches(features, people, scratch, limit=4))
+    twice = ranked_rows(rank_matches(features, people.unionByName(people), scratch, limit=4))
+    # positions 1 to 4 hold the best two postings twice, and meet both rows again
+    assert sorted({(r[0], r[2]) for r in twice}) == sorted({(r[0], r[2]) for r in once if r[1] <= 2})
+    assert len(twice) == 2 * len(once)
+
+
 def test_term_join_equals_inline(make_postings, make_profiles, scratch):
     postings, profiles = world(make_postings, make_profiles, seed=8, posts=20, people=8)
     vocab = profile_vocabulary(profile_features(profiles))
