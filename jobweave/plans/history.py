@@ -38,6 +38,11 @@ COUNTS = (
 )
 _JOB_LAST = ("canonical_url", "content_signature", "last_seen_at", "last_run_id")
 _PAIR = ("student_key", "profile_version", "job_key", "ranker_version")
+# what the history keeps of a match; postings have tables of their own
+_MATCH = (
+    "profile_no", "student_key", "profile_version", "ordinal", "score", "rank_position",
+    "reasons", "seniority_label",
+)
 
 SPECS: dict[str, Spec] = {
     "pipeline_runs": Spec(
@@ -85,6 +90,7 @@ SPECS: dict[str, Spec] = {
     ),
 }
 PAYLOAD = "payload"
+TEXT_CODEC = "zstd"  # of tables with whole texts
 _MANIFEST = "seq bigint, run_id string, table string, path string, replaces boolean"
 
 
@@ -178,7 +184,8 @@ class History:
 
         def write(name: str) -> None:
             # a folder of the same number can only be left over from a failed run
-            tables[name].write.mode("overwrite").parquet(f"{self.root}/{paths[name]}")
+            codec = TEXT_CODEC if name == PAYLOAD else None
+            tables[name].write.mode("overwrite").parquet(f"{self.root}/{paths[name]}", compression=codec)
 
         # independent jobs: let Spark run them side by side
         with ThreadPoolExecutor(max_workers=4) as pool:
@@ -282,7 +289,7 @@ def persist_run(
     }
     matches = prepared.unique.limit(0)
     if ranked is not None:
-        matches = scratch.keep(ranked, "ranked")
+        matches = scratch.keep(ranked.select(*_MATCH), "ranked")
         # a popular posting is matched by very many profiles
         per_posting = matches.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
         scored = lookup_join(

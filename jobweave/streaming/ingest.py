@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobweave.operators.quality import check_contract
 from jobweave.operators.scratch import Scratch
 from jobweave.operators.skew import number_rows
-from jobweave.plans.history import History, persist_run
+from jobweave.plans.history import TEXT_CODEC, History, persist_run
 from jobweave.plans.prepare import prepare
 from jobweave.schemas import POSTING_SCHEMA, PROFILE_SCHEMA
 from jobweave.vocab import SENIORITY_TERMS, Taxonomy
@@ -43,11 +43,14 @@ def ingest_stream(
         if history.has_run(run_id):
             return
         with Scratch(spark) as scratch:
-            order = [F.col("_file"), F.col("ordinal")]
-            rows = number_rows(batch, order, "_position", scratch)
-            rows = rows.withColumn("ordinal", F.col("_position")).drop("_file", "_position")
+            # only places are sorted; every text moves once, to its number
+            place, order = ["_file", "_row"], [F.col("_file"), F.col("ordinal")]
+            numbers = number_rows(batch.select(*place, "ordinal"), order, "_position", scratch)
+            numbers = numbers.select(*place, "_position").hint("shuffle_hash")
+            rows = batch.join(numbers, place).withColumn("ordinal", F.col("_position"))
+            rows = rows.select(*POSTING_SCHEMA.fieldNames())
             rows = check_contract(rows)[0] if check else rows
-            rows = scratch.keep(rows, "batch")
+            rows = scratch.keep(rows, "batch", TEXT_CODEC)
             nobody = spark.createDataFrame([], PROFILE_SCHEMA)
             prepared = prepare(
                 rows, nobody, scratch, taxonomy=taxonomy,
@@ -63,7 +66,9 @@ def ingest_stream(
         spark.readStream.schema(POSTING_SCHEMA)
         .option("maxFilesPerTrigger", max_files)
         .parquet(landing)
-        .select("*", F.col("_metadata.file_path").alias("_file"))
+        .select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+        )
         .writeStream.foreachBatch(one)
         .option("checkpointLocation", offsets)
         .trigger(availableNow=True)

@@ -5,6 +5,7 @@ import pytest
 from checks import fixtures as fx
 from jobweave.operators.dedup import KEYS, with_dedup_keys
 from jobweave.operators.quality import normalize
+from jobweave.operators.scratch import Scratch
 from jobweave.plans.history import SPECS, History
 from jobweave.plans.pipeline import RunFailed, evaluate_labelled, run_export, run_report, student_matches
 from jobweave.sources.approved import read_approved
@@ -161,6 +162,26 @@ def test_identities_across_runs(spark, tmp_path, scratch, make_postings):
     assert ids[("canonical_url", "https://e.com/9")] == ids[("source_job_id", "employer_careers:id-1")]
 
 
+def test_numbering_a_batch_sorts_no_texts(spark, tmp_path, make_postings, monkeypatch):
+    """Numbers follow file and ordinal, rows that share both get one each, and texts
+    are in no table but the numbered batch."""
+    seen, keep = [], Scratch._keep
+
+    def noted(self, df, name, *options):
+        seen.append((name, "description" in df.columns))
+        return keep(self, df, name, *options)
+
+    monkeypatch.setattr(Scratch, "_keep", noted)
+    history = History(spark, str(tmp_path / "history"))
+    rows = [dict(ordinal=o, url=f"https://e.com/{i}", description=f"text {i}") for i, o in enumerate((7, 3, 3, 9))]
+    make_postings(*rows).coalesce(1).write.parquet(str(tmp_path / "landing"))
+    ingest_stream(spark, str(tmp_path / "landing"), history, str(tmp_path / "offsets"))
+    assert [name for name, text in seen if text] == ["batch"]
+    stored = spark.read.parquet(f"{history.root}/payload").orderBy("ordinal").collect()
+    assert [r["ordinal"] for r in stored] == [1, 2, 3, 4]
+    assert [r["url"][-1] for r in stored][2:] == ["0", "3"] and {r["url"][-1] for r in stored[:2]} == {"1", "2"}
+
+
 def test_replayed_batch(spark, tmp_path, make_postings):
     """A batch that was published and then replayed, its offset being lost, changes nothing."""
     landing, offsets = tmp_path / "landing", tmp_path / "offsets"
