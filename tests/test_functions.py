@@ -92,3 +92,33 @@ def test_dates(spark):
     june = date(2026, 6, 2)
     assert [r[0] for r in got] == [june, date(2026, 6, 1), june, date(2027, 1, 3), None, None, june, june]
     assert [r[1] for r in got] == [None] * 7 + [june]
+
+
+def test_words_are_found_as_by_the_pattern(spark):
+    """Byte searches in ``word_text`` agree with the patterns, at every kind of edge."""
+    bodies = [
+        "ai", "ai,", "maid ai", "ai_x", "éai", "ai\u00a0x", "x ai\U00010400", "in the", "in  the", "in,the", "xin the",
+        "c++ c++x", "a / b", "a/b", "café", "cafés", "\u4e00ai", "ai\u0301", "", None,
+    ]
+    terms = ["ai", "in the", "c++", "a / b", "café", "the", "b", "ai_x", "\u4e00ai"]
+    rows = spark.createDataFrame([(b,) for b in bodies], "body string").withColumn("words", text.word_text(F.col("body")))
+    for pattern in (text.lookaround_pattern, text.boundary_pattern):
+        got = rows.select(
+            text.terms_in(F.col("body"), terms, pattern).alias("plain"),
+            text.terms_in(F.col("body"), terms, pattern, F.col("words")).alias("fast"),
+        ).collect()
+        assert [r["plain"] for r in got] == [r["fast"] for r in got]
+        assert got[0]["fast"] == ["ai"] and got[4]["fast"] == [] and got[7]["fast"] == ["in the", "the"]
+
+
+def test_a_word_needs_no_pattern(spark):
+    rows = spark.createDataFrame([("ai",)], "body string").withColumn("words", text.word_text(F.col("body")))
+    hits = rows.select(text.terms_in(F.col("body"), ["ai", "que"], words=F.col("words")).alias("hits"))
+    plan = hits._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE" not in plan.upper()
+
+
+def test_collapse_knows_every_space(spark):
+    for c in text.SPACES:
+        assert one(spark, text.collapse(F.lit(f"{c}a{c}b {c}  c{c}{c}"))) == "a b c"
+    assert one(spark, text.collapse(F.lit("a\u200bb \u00e9\u00ff\u4e00\U00010400"))) == "a\u200bb \u00e9\u00ff\u4e00\U00010400"
