@@ -138,6 +138,20 @@ def test_rows_of_a_repeated_profile_share_its_limit(make_postings, make_profiles
     assert len(twice) == 2 * len(once)
 
 
+def test_only_repeated_profiles_are_dealt_out_before_the_limit(spark, make_postings, make_profiles, scratch):
+    postings, profiles = world(make_postings, make_profiles, seed=23)
+    people, _ = consenting(profile_features(profiles))
+    twice = people.agg({"profile_no": "min"}).first()[0]
+    features = scratch.keep(posting_features(postings, profile_vocabulary(people)), "f")
+    alone = ranked_rows(rank_matches(features, people, scratch, limit=4))
+    both = people.unionByName(people.filter(f"profile_no = {twice}"))
+    got = ranked_rows(rank_matches(features, both, scratch, limit=4))
+    assert [r for r in got if r[0] != twice] == [r for r in alone if r[0] != twice]
+    assert len(got) > len(alone) - 4 and any(r[0] == twice for r in got)
+    (table,) = glob.glob(f"{scratch.root}/*-rank-numbers")
+    assert {r["profile_no"] for r in spark.read.parquet(table).collect()} == {twice}
+
+
 def test_term_join_equals_inline(make_postings, make_profiles, scratch):
     postings, profiles = world(make_postings, make_profiles, seed=8, posts=20, people=8)
     vocab = profile_vocabulary(profile_features(profiles))
