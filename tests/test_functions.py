@@ -122,3 +122,24 @@ def test_collapse_knows_every_space(spark):
     for c in text.SPACES:
         assert one(spark, text.collapse(F.lit(f"{c}a{c}b {c}  c{c}{c}"))) == "a b c"
     assert one(spark, text.collapse(F.lit("a\u200bb \u00e9\u00ff\u4e00\U00010400"))) == "a\u200bb \u00e9\u00ff\u4e00\U00010400"
+
+
+def test_long_texts_are_stripped_and_lowered_once(spark):
+    from jobweave.functions import keys
+    from jobweave.operators.quality import is_valid
+
+    bodies = ["", " ", None, "a", " a", *text.SPACES, *[f"{c}x{c}" for c in text.SPACES]]
+    rows = spark.createDataFrame([(b,) for b in bodies], "b string")
+    got = rows.select(text.is_blank(F.col("b")).alias("fast"), (text.strip(F.col("b")) == "").alias("plain")).collect()
+    assert [r["fast"] for r in got] == [r["plain"] for r in got]
+    names = ("source", "title", "company", "location", "description", "url")
+    post = spark.createDataFrame([("s", "ßT ", "", None, "İ Σ　 Aß\x1f", "u")], ", ".join(f"{c} string" for c in names))
+    signed = post.withColumn("_f", keys.folded_description())
+    whole = F.concat_ws("||", *[text.casefold(text.strip(F.col(c))) for c in ("title", "company", "location")], "_f")
+    row = signed.select(keys.content_signature(F.col("_f")).alias("a"), text.stable_hash(whole).alias("b")).first()
+    assert row["a"] == row["b"]
+
+    # the parts only: title, company, location
+    assert "btrim" not in str(is_valid()).lower()
+    assert str(keys.dedup_signature(F.col("_f"))).count("lower(") == 3
+    assert str(keys.content_signature(F.col("_f"))).count("lower(") == 3
