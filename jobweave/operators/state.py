@@ -8,7 +8,9 @@ snapshot folds the deltas.  No run rewrites the whole table.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,23 +54,41 @@ def _fold(rows: DataFrame, spec: Spec) -> DataFrame:
 
 
 def delta(
-    rows: DataFrame, spec: Spec, run_seq: int, position: Column, sub: Column | None = None
+    rows: DataFrame, spec: Spec, run_seq: int, position: Column, sub: Column | None = None,
+    *, sole: Column | None = None,
 ) -> DataFrame:
-    """Fold the rows of one run; ``(position, sub)`` is their order inside the run."""
+    """Fold the rows of one run; ``(position, sub)`` is their order inside the run.
+
+    Where ``sole`` holds, no other row has the key: such rows are their own fold and
+    are neither sorted nor moved.
+    """
     seq = F.struct(
         F.lit(run_seq).cast("bigint").alias("run"),
         position.cast("bigint").alias("pos"),
         (F.lit(0) if sub is None else sub).cast("bigint").alias("sub"),
     )
-    return _fold(
-        rows.select(
+
+    def marked(some: DataFrame) -> DataFrame:
+        return some.select(
             *spec.keys, *spec.last, *spec.first,
             F.lit(1).cast("bigint").alias("_n"),
             seq.alias("_first_seq"),
             seq.alias("_last_seq"),
-        ),
-        spec,
-    )
+        )
+
+    if sole is None:
+        return _fold(marked(rows), spec)
+    alone = F.coalesce(sole, F.lit(False))
+    return marked(rows.filter(alone)).unionByName(_fold(marked(rows.filter(~alone)), spec))
+
+
+def sole_rows(rows: DataFrame, id: str, keys: Sequence[str]) -> DataFrame:
+    """``id`` of the rows that share neither it nor ``keys`` with another row; a key
+    with a NULL counts as shared."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    one = rows.filter(whole).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(id).alias(id))
+    once = rows.groupBy(id).agg(F.count(F.lit(1)).alias("_n"))
+    return one.filter("_n = 1").select(id).join(once.filter("_n = 1").select(id), id)
 
 
 def merge_snapshot(prev: DataFrame | None, batch: DataFrame, spec: Spec) -> DataFrame:

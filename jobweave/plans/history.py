@@ -24,6 +24,7 @@ from jobweave.operators.state import (
     delta,
     merge_snapshot,
     resolve_job_keys,
+    sole_rows,
     validation_status,
     visible,
 )
@@ -43,6 +44,10 @@ _MATCH = (
     "profile_no", "student_key", "profile_version", "ordinal", "score", "rank_position",
     "reasons", "seniority_label",
 )
+# both tables of matches have one key, so they are one fold
+_SCORED = Spec(_PAIR, (), ("score", "rank_position", "reasons", "seniority"))
+# Up to this many matched postings their keys are broadcast.
+BROADCAST_POSTINGS = 100_000
 
 SPECS: dict[str, Spec] = {
     "pipeline_runs": Spec(
@@ -204,6 +209,14 @@ class History:
         )
 
 
+def with_sole(people: DataFrame) -> DataFrame:
+    """Add ``sole_profile``: no other profile has this one's number, or its student key
+    and version.  Matches that carry it (``keep`` of ``rank_matches``) mostly need no
+    fold in :func:`persist_run`."""
+    sole = sole_rows(people, "profile_no", ("student_key", "profile_version"))
+    return people.join(sole.withColumn("sole_profile", F.lit(True)), "profile_no", "left")
+
+
 def persist_run(
     history: History,
     *,
@@ -270,18 +283,23 @@ def persist_run(
     resolved = scratch.keep(
         resolve_job_keys(unique, history.state("job_identities")), "job-keys"
     )
-    keyed = scratch.keep(unique.join(resolved, "ordinal"), "keyed-jobs")
+    sole = scratch.keep(
+        sole_rows(resolved, "ordinal", ("job_key",)).withColumn("sole_job", F.lit(True)), "sole-jobs"
+    )
+    keyed = scratch.keep(unique.join(resolved, "ordinal").join(sole, "ordinal", "left"), "keyed-jobs")
     seen = stamped(keyed, "first_seen_at", "last_seen_at")
     ids = seen.withColumn("i", F.explode("identities")).select("i.*", "*")
     tables = {
         "normalized_jobs": norm_delta,
-        "deduped_jobs": delta(seen, SPECS["deduped_jobs"], seq, F.col("ordinal")),
+        "deduped_jobs": delta(
+            seen, SPECS["deduped_jobs"], seq, F.col("ordinal"), sole=F.col("sole_job")
+        ),
         "job_identities": delta(ids, SPECS["job_identities"], seq, F.col("ordinal")),
         "classification_results": delta(
             stamped(keyed, "first_classified_at", "last_classified_at").withColumn(
                 "classifier_version", F.lit(CLASSIFIER_VERSION)
             ),
-            SPECS["classification_results"], seq, F.col("ordinal"),
+            SPECS["classification_results"], seq, F.col("ordinal"), sole=F.col("sole_job"),
         ),
         PAYLOAD: normalize(postings).select(
             F.lit(seq).cast("bigint").alias("run_seq"), *POSTING_SCHEMA.fieldNames()
@@ -289,17 +307,26 @@ def persist_run(
     }
     matches = prepared.unique.limit(0)
     if ranked is not None:
-        matches = scratch.keep(ranked.select(*_MATCH), "ranked")
-        # a popular posting is matched by very many profiles
-        per_posting = matches.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
-        scored = lookup_join(
-            matches.withColumnRenamed("seniority_label", "match_seniority"),
-            resolved.select("ordinal", "job_key"), "ordinal",
-            counts=per_posting, total_rows=matches.count(),
-        ).withColumns(
+        marks = ("sole_profile",) if "sole_profile" in ranked.columns else ()
+        matches = scratch.keep(ranked.select(*_MATCH, *marks), "ranked")
+        per_posting = scratch.keep(
+            matches.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")), "ranked-postings"
+        )
+        job_keys = scratch.keep(
+            resolved.select("ordinal", "job_key").join(per_posting, "ordinal", "left_semi").join(sole, "ordinal", "left"),
+            "ranked-keys",
+        )
+        if job_keys.count() <= BROADCAST_POSTINGS:
+            found = matches.join(F.broadcast(job_keys), "ordinal")
+        else:  # a popular posting is matched by very many profiles
+            found = lookup_join(matches, job_keys, "ordinal", counts=per_posting, total_rows=matches.count())
+        scored = found.withColumns(
+            {"ranker_version": F.lit(RANKER_VERSION), "seniority": F.col("seniority_label")}
+        )
+        order = (F.col("profile_no"), F.col("rank_position"))
+        alone = F.col("sole_profile") & F.col("sole_job") if marks else None
+        pairs = scratch.keep(delta(scored, _SCORED, seq, *order, sole=alone), "pairs").withColumns(
             {
-                "ranker_version": F.lit(RANKER_VERSION),
-                "seniority": F.col("match_seniority"),
                 "latest_score": F.col("score"),
                 "match_key": match_key(F.col("student_key"), F.col("profile_version"), F.col("job_key")),
                 "first_run_id": run,
@@ -307,9 +334,11 @@ def persist_run(
                 **{c: at for c in ("first_scored_at", "last_scored_at", "first_matched_at", "last_matched_at")},
             }
         )
-        order = (F.col("profile_no"), F.col("rank_position"))
         for name in ("ranking_scores", "match_history"):
-            tables[name] = delta(scored, SPECS[name], seq, *order)
+            spec = SPECS[name]
+            tables[name] = pairs.select(
+                *spec.keys, *spec.last, *spec.first, "_n", "_first_seq", "_last_seq"
+            )
 
     summary = counts if counts is not None else run_counts(
         prepared.staged, prepared.unique, prepared.people, matches
